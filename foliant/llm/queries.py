@@ -35,6 +35,12 @@ def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from foliant.llm import ngram_join
+
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from foliant.llm import token_counts
 
@@ -59,7 +65,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"), _vocabulary(MULTI_RANKS))
 
 
-QUERIES = {f.__name__: f for f in (op2_url_filters, op3_html_extraction, op6_token_counts, op7_exact_topk, op9_secret_scans, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op2_url_filters, op3_html_extraction, op4_ngram_jaccard_join, op6_token_counts, op7_exact_topk, op9_secret_scans, op10_byte_bpe)}
 
 _RULE_ROWS = ", ".join(f"('{a}', '{h}', '{p}')" for a, h, p in URL_RULES)
 ORACLE_SQL = {
