@@ -23,6 +23,12 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from foliant.llm import lm_scoring
+
+    return lm_scoring.score(table(spark, sf_dir, "documents"))
+
+
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     from foliant.llm import url_filters
 
@@ -65,7 +71,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"), _vocabulary(MULTI_RANKS))
 
 
-QUERIES = {f.__name__: f for f in (op2_url_filters, op3_html_extraction, op4_ngram_jaccard_join, op6_token_counts, op7_exact_topk, op9_secret_scans, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_url_filters, op3_html_extraction, op4_ngram_jaccard_join, op6_token_counts, op7_exact_topk, op9_secret_scans, op10_byte_bpe)}
 
 _RULE_ROWS = ", ".join(f"('{a}', '{h}', '{p}')" for a, h, p in URL_RULES)
 ORACLE_SQL = {
