@@ -59,6 +59,12 @@ def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.search(table(spark, sf_dir, "embeddings"))
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from foliant.llm import quality
+
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     from foliant.llm import secret_scan
 
@@ -71,7 +77,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"), _vocabulary(MULTI_RANKS))
 
 
-QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_url_filters, op3_html_extraction, op4_ngram_jaccard_join, op6_token_counts, op7_exact_topk, op9_secret_scans, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_url_filters, op3_html_extraction, op4_ngram_jaccard_join, op6_token_counts, op7_exact_topk, op8_quality_classifier, op9_secret_scans, op10_byte_bpe)}
 
 _RULE_ROWS = ", ".join(f"('{a}', '{h}', '{p}')" for a, h, p in URL_RULES)
 ORACLE_SQL = {
