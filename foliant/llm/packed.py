@@ -17,7 +17,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
+from pyspark.sql import DataFrame
 
+#: Groups that the partial sums of partitions are added up in before the driver adds these.
+SUMS = 16
 #: Bytes of text in a chunk (a longer document is a chunk of its own).
 CHUNK_BYTES = 8 << 20
 _CODEC = pa.Codec("zstd", compression_level=1)
@@ -123,3 +126,23 @@ def bucket_cuts(keys: np.ndarray, buckets: int) -> np.ndarray:
     shift = 64 - (buckets.bit_length() - 1)
     lows = np.arange(buckets, dtype=np.uint64) << np.uint64(shift)
     return np.append(np.searchsorted(keys, lows), len(keys))
+
+
+def partition_sum(rows: DataFrame, partial, size: int) -> np.ndarray:
+    """The sum over partitions of vectors of doubles: partitions, then SUMS groups, then the driver."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size)
+        for batch in batches:
+            total += partial(batch)
+        number = TaskContext.get().partitionId() % SUMS
+        yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["g", "v"])
+
+    def add(group: pa.Table) -> pa.Table:
+        total = np.zeros(size)
+        for v in group.column("v").to_pylist():
+            total += np.frombuffer(v)
+        return pa.table({"v": pa.array([total.tobytes()], pa.binary())})
+
+    parts = rows.mapInArrow(each, "g int, v binary").groupBy("g").applyInArrow(add, "v binary")
+    return np.sum([np.zeros(size), *(np.frombuffer(r["v"]) for r in parts.collect())], axis=0)

@@ -26,13 +26,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.packed import chunks, mix, words
+from foliant.llm.packed import chunks, mix, partition_sum, words
 from foliant.session import settle, ship
 
 #: crc32(doc_id) % FOLDS: TEST is never learned from, CALIBRATE fits the isotonic curve, others the ridge.
 FOLDS, TEST, CALIBRATE = 4, 2, 1
-#: Random features, width of the kernel, ridge, bins of the isotonic fit, and partial sums.
-FEATURES, WIDTH, RIDGE, BINS, SUMS = 256, 3.0, 1e-3, 1000, 16
+#: Random features, width of the kernel, ridge, and bins of the isotonic fit.
+FEATURES, WIDTH, RIDGE, BINS = 256, 3.0, 1e-3, 1000
 #: Scores from here on are predicted 1.
 ACCEPT = 0.7
 
@@ -118,28 +118,6 @@ def pool(score: np.ndarray, good: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return np.repeat(means, spans)
 
 
-def _summed(rows: DataFrame, partial, size: int) -> np.ndarray:
-    """The sum over partitions of vectors of doubles: partitions, then SUMS groups, then the driver."""
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        total = np.zeros(size)
-        for batch in batches:
-            total += partial(batch)
-        number = TaskContext.get().partitionId() % SUMS
-        yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["g", "v"])
-
-    def add(group: pa.Table) -> pa.Table:
-        total = np.zeros(size)
-        for v in group.column("v").to_pylist():
-            total += np.frombuffer(v)
-        return pa.table({"v": pa.array([total.tobytes()], pa.binary())})
-
-    parts = rows.mapInArrow(each, "g int, v binary").groupBy("g").applyInArrow(add, "v binary")
-    return np.sum([np.zeros(size), *(np.frombuffer(r["v"]) for r in parts.collect())], axis=0)
-
-
 def _matrix(batch: pa.RecordBatch) -> np.ndarray:
     x = np.frombuffer(b"".join(batch.column("x").to_pylist()), np.float32).reshape(-1, DIMENSIONS)
     return np.nan_to_num(x)
@@ -184,7 +162,7 @@ def fit(rows: DataFrame, labels: DataFrame) -> Model:
         x, y = _matrix(batch).astype(np.float64), np.asarray(batch.column("y"))
         return np.concatenate([[len(x), y.sum()], x.sum(0), (x**2).sum(0)])
 
-    total = _summed(ridge_rows, moments, 2 + 2 * d)
+    total = partition_sum(ridge_rows, moments, 2 + 2 * d)
     n, good = total[0], total[1]
     if not n:
         return Model(np.zeros(d), np.ones(d), np.zeros(FEATURES + d + 1), [0.0], [0.5], learned=False)
@@ -200,7 +178,7 @@ def fit(rows: DataFrame, labels: DataFrame) -> Model:
         w = np.where(y > 0, weight[1.0], weight[0.0])[:, None]
         return np.concatenate([(z.T @ (w * z)).ravel(), z.T @ (w[:, 0] * y)])
 
-    sums = _summed(ridge_rows, normal, k * k + k)
+    sums = partition_sum(ridge_rows, normal, k * k + k)
     model = Model(centre, scale, np.linalg.solve(sums[: k * k].reshape(k, k) + RIDGE * n * np.eye(k), sums[k * k :]), [0.0], [good / n])
 
     def curve(batch: pa.RecordBatch) -> np.ndarray:
@@ -208,7 +186,7 @@ def fit(rows: DataFrame, labels: DataFrame) -> Model:
         y = np.asarray(batch.column("y"))
         return np.concatenate([np.bincount(place, minlength=BINS), np.bincount(place, y, minlength=BINS)])
 
-    bins = _summed(curve_rows, curve, 2 * BINS)
+    bins = partition_sum(curve_rows, curve, 2 * BINS)
     seen = np.flatnonzero(bins[:BINS])
     if len(seen):
         model.knots = (seen + 0.5) / BINS * 2 - 0.5

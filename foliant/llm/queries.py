@@ -17,7 +17,7 @@ URL_RULES = [
 MULTI_RANKS, JSON_TOKENIZER = "byte_bpe_multi_50k.tiktoken", "byte_bpe_50k.json"
 
 
-def _vocabulary(name: str) -> str:
+def vocabulary(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -47,10 +47,16 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from foliant.llm import decontamination
+
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from foliant.llm import token_counts
 
-    return token_counts.count_tokens(table(spark, sf_dir, "documents"), _vocabulary(JSON_TOKENIZER))
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), vocabulary(JSON_TOKENIZER))
 
 
 def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,10 +80,10 @@ def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from foliant.llm import byte_bpe
 
-    return byte_bpe.round_trip(table(spark, sf_dir, "documents"), _vocabulary(MULTI_RANKS))
+    return byte_bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary(MULTI_RANKS))
 
 
-QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_url_filters, op3_html_extraction, op4_ngram_jaccard_join, op6_token_counts, op7_exact_topk, op8_quality_classifier, op9_secret_scans, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_url_filters, op3_html_extraction, op4_ngram_jaccard_join, op5_benchmark_decontamination, op6_token_counts, op7_exact_topk, op8_quality_classifier, op9_secret_scans, op10_byte_bpe)}
 
 _RULE_ROWS = ", ".join(f"('{a}', '{h}', '{p}')" for a, h, p in URL_RULES)
 ORACLE_SQL = {
