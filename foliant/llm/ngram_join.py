@@ -32,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from foliant.llm.components import components
 from foliant.llm.packed import bucket_cuts, buckets_for, chunks, hashes, mix, pack, pack_sorted, unpack, unpack_sorted, words
@@ -41,6 +42,8 @@ from foliant.session import settle, ship
 WIDTH, SIMILAR = 5, (80, 100)
 #: Representatives and shared shingles of a tile, at most (a larger representative is a tile of its own).
 TILE_DOCS, TILE_KEYS = 1024, 2_000_000
+#: Stands for a null doc_id where the least is looked for; ids that are broadcast, at most.
+NO_ID, BROADCAST_IDS = 1 << 62, 500_000
 
 _SENT = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("keys", pa.binary()), ("n", pa.binary()), ("docs", pa.binary()), ("own", pa.binary())])
 _SENT_DDL = "bucket int, chunk long, keys binary, n binary, docs binary, own binary"
@@ -76,16 +79,23 @@ def shingle_sets(texts: pa.Array, width: int = WIDTH) -> tuple[np.ndarray, np.nd
     return key[fresh], doc[fresh]
 
 
+def digests(key: np.ndarray, doc: np.ndarray, n_docs: int) -> list[np.ndarray]:
+    """Two order-free 64-bit digests of each document's set."""
+    order = np.argsort(doc, kind="stable")
+    sizes = np.bincount(doc, minlength=n_docs)
+    ends = np.cumsum(sizes)
+    out = []
+    for salt in (1, 2):
+        running = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(key[order] + np.uint64(salt)), dtype=np.uint64)])
+        out.append((running[ends] - running[ends - sizes]).view(np.int64))
+    return out
+
+
 def _send(number: int, part: pa.Table, buckets: int, width: int) -> Iterator[pa.RecordBatch]:
     key, doc = shingle_sets(part.column("text"), width)
     n_docs = len(part)
     sizes = np.bincount(doc, minlength=n_docs)
-    order = np.argsort(doc, kind="stable")
-    sums = []
-    for salt in (1, 2):  # order-free digests of the sets
-        running = np.concatenate([[0], np.cumsum(mix(key[order] + np.uint64(salt)), dtype=np.uint64)]).astype(np.uint64)
-        ends = np.cumsum(sizes)
-        sums.append(running[ends] - running[ends - sizes])
+    sums = digests(key, doc, n_docs)
     distinct, at, n = np.unique(key, return_index=True, return_counts=True)
     cuts = bucket_cuts(distinct, buckets)
     marks = np.append(at, len(key))
@@ -95,7 +105,7 @@ def _send(number: int, part: pa.Table, buckets: int, width: int) -> Iterator[pa.
         own = None
         if b == number % buckets:
             ids = part.column("doc_id")
-            table = pa.table({"doc_id": ids, "n": sizes, "d1": sums[0].view(np.int64), "d2": sums[1].view(np.int64)})
+            table = pa.table({"doc_id": ids, "n": sizes, "d1": sums[0], "d2": sums[1]})
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
                 out.write_table(table)
@@ -271,11 +281,11 @@ def _tiles(members: DataFrame) -> DataFrame:
 
 
 def jaccard_classes(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
-    """(sets, roots): every document's set row with its class representative, and each linked
-    representative's component root."""
+    """Every document with its class representative ``rep`` (id, uid), and (node, root): each
+    linked representative's component."""
     sets = settle(document_sets(docs, width), "sets")
     # Classes of equal sets: the least (doc_id, uid) represents; rows of empty sets stand alone.
-    key = F.struct(F.coalesce("doc_id", F.lit(1 << 62)).alias("id"), F.col("uid"))
+    key = F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.col("uid"))
     classes = sets.where("n > 0").groupBy("d1", "d2", "n").agg(F.min(key).alias("rep"))
     able = sets.where(F.col("shared") >= F.ceil(F.col("n") * SIMILAR[0] / SIMILAR[1]))  # others cannot overlap enough
     reps = able.select("uid", "n", "shared", "keys").join(classes.select(F.col("rep.uid").alias("uid")), "uid", "left_semi")
@@ -288,18 +298,61 @@ def jaccard_classes(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, Dat
     members = reps.join(groups, reps.uid == groups.node).select("uid", "n", "shared", "keys", "root")
     linked = _tiles(members).groupBy("root", "low", "high").applyInArrow(_links, "a long, b long")
     roots = components(linked)
-    named = sets.select("uid", "doc_id", "n", "d1", "d2").join(classes, ["d1", "d2", "n"], "left").select("uid", "doc_id", "n", F.coalesce("rep.uid", "uid").alias("rep"), F.coalesce("rep.id", F.coalesce("doc_id", F.lit(1 << 62))).alias("id"))
-    return named, roots
+    named = sets.select("uid", "doc_id", "n", "d1", "d2").join(classes, ["d1", "d2", "n"], "left")
+    own = F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.col("uid"))
+    return named.select("uid", "doc_id", "n", "d1", "d2", F.coalesce("rep", own).alias("rep")), roots
 
 
-def jaccard_components(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, n_shingles, component_id and links (of its class, in a spanning forest) of every document."""
-    named, roots = jaccard_classes(docs, width)
+def with_least(named: DataFrame, roots: DataFrame) -> DataFrame:
+    """The rows of ``named`` with ``first``: the least (id, uid) of their component."""
     every = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
-    # The least id of each component: over its classes' least ids.
-    ids = named.where("uid = rep").select(F.col("rep").alias("node"), "id")
-    names = every.join(ids, "node").groupBy("root").agg(F.min("id").alias("name"))
-    of_class = every.join(names, "root").select(F.col("node").alias("rep"), "name")
-    out = named.join(of_class, "rep", "left")
-    name = F.coalesce("name", "id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(name < (1 << 62), name).alias("component_id"))
+    classes = named.where("uid = rep.uid").select(F.col("rep.uid").alias("node"), "rep")
+    least = every.join(classes, "node").groupBy("root").agg(F.min("rep").alias("first"))
+    of_class = every.join(least, "root").select("node", "first")
+    return named.join(of_class, F.col("rep.uid") == F.col("node"), "left").select("uid", "doc_id", "n", "d1", "d2", F.coalesce("first", "rep").alias("first"))
+
+
+def jaccard_components(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """doc_id, n_shingles and component_id of every document."""
+    rows = with_least(*jaccard_classes(docs, width))
+    name = F.col("first.id")
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(name < NO_ID, name).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """The rows of ``docs`` without near duplicates: of each component the least doc_id stays.
+
+    All columns stay. Documents without words stay. Of rows that repeat a doc_id in one
+    component, one stays.
+    """
+    rows = settle(with_least(*jaccard_classes(docs, width)), "components")
+    counted = rows.groupBy("doc_id").agg(F.count("*").alias("rows"), F.max((F.col("uid") != F.col("first.uid")).cast("int")).alias("gone"))
+    often = settle(counted.where("rows > 1 or doc_id is null").select("doc_id"), "repeated")
+    gone = settle(counted.where("rows = 1 and gone = 1 and doc_id is not null").select(F.col("doc_id").alias("gone_id")), "gone")
+
+    def sized(ids: DataFrame) -> DataFrame:
+        # Ids are broadcast up to a bound (8 bytes each); beyond it Spark shuffles both sides.
+        return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+    once = docs.join(sized(gone), F.col("doc_id") == F.col("gone_id"), "left_anti")
+    if often.isEmpty():
+        return once
+    # Rows that share a doc_id are told apart by their sets.
+    again = often.select(F.col("doc_id").alias("again_id"))
+    once = once.join(sized(again), F.col("doc_id").eqNullSafe(F.col("again_id")), "left_anti")
+    twice = docs.join(sized(again), F.col("doc_id").eqNullSafe(F.col("again_id")), "left_semi")
+    names = docs.columns
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key, doc = shingle_sets(batch.column("text"), width)
+            sums = digests(key, doc, len(batch))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.bincount(doc, minlength=len(batch)), pa.int64()), *map(pa.array, sums)], names=[*names, "__n", "__d1", "__d2"])
+
+    marked = twice.mapInArrow(digest, T.StructType([*docs.schema.fields, *(T.StructField(c, T.LongType()) for c in ("__n", "__d1", "__d2"))]))
+    stays = rows.where((F.col("uid") == F.col("first.uid")) & (F.col("n") > 0)).select(F.col("doc_id").alias("__id"), F.col("n").alias("__m"), F.col("d1").alias("__e1"), F.col("d2").alias("__e2"))
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__n") == F.col("__m")) & (F.col("__d1") == F.col("__e1")) & (F.col("__d2") == F.col("__e2"))
+    whole = marked.where("__n > 0").join(stays, same, "left_semi")
+    order = Window.partitionBy("doc_id", "__n", "__d1", "__d2").orderBy("text")
+    whole = whole.withColumn("__k", F.row_number().over(order)).where("__k = 1")
+    return once.unionByName(whole.select(*names)).unionByName(marked.where("__n = 0").select(*names))
