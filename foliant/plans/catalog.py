@@ -1,6 +1,18 @@
-"""The registered queries for the documentary operators, and their SQL."""
+"""The registered queries of the documentary operators, and their SQL."""
 
 from __future__ import annotations
 
-QUERIES = {}
-ORACLE_SQL = {}
+from foliant.plans import (  # noqa: F401  (importing registers)
+    compare_queries,
+    corpus_queries,
+    graph_queries,
+    grounding_queries,
+    learning_queries,
+    retrieval_queries,
+    source_queries,
+    synthesis_queries,
+    timeline_queries,
+)
+from foliant.plans.registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
