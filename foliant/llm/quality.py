@@ -33,6 +33,8 @@ from foliant.session import settle, ship
 FOLDS, TEST, CALIBRATE = 4, 2, 1
 #: Random features, width of the kernel, ridge, and bins of the isotonic fit.
 FEATURES, WIDTH, RIDGE, BINS = 256, 3.0, 1e-3, 1000
+#: Bytes of text whose statistics are computed at a time (their arrays take about thirty times as much).
+STATISTICS_BYTES = 4 << 20
 #: Scores from here on are predicted 1.
 ACCEPT = 0.7
 
@@ -127,7 +129,7 @@ def featurise(docs: DataFrame) -> DataFrame:
     """doc_id, fold, x (packed statistics) of every row, written once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, part in chunks(batches):
+        for _, part in chunks(batches, most=STATISTICS_BYTES):
             x = statistics(part.column("text"))
             others = [part.column(c).combine_chunks() for c in ("doc_id", "fold")]
             yield pa.RecordBatch.from_arrays([*others, pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "fold", "x"])
@@ -219,8 +221,7 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
         return docs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if len(batch):
-                yield batch.filter(pa.array(model.score(statistics(batch.column("text"))) >= ACCEPT))
+        for _, part in chunks(batches, most=STATISTICS_BYTES):
+            yield from part.filter(pa.array(model.score(statistics(part.column("text"))) >= ACCEPT)).to_batches()
 
     return docs.mapInArrow(run, docs.schema)
