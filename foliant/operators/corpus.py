@@ -42,7 +42,7 @@ def chunk_lines(text: Column, size: int) -> Column:
             F.when(fits, F.concat(state["open"], F.lit("\n"), piece)).otherwise(piece).alias("open"),
         )
 
-    return F.filter(F.aggregate(pieces, start, add, lambda s: F.array_append(s["done"], s["open"])), lambda c: F.trim(c) != "")
+    return F.filter(F.aggregate(pieces, start, add, lambda s: F.array_append(s["done"], s["open"])), lambda c: c.rlike(r"\S"))
 
 
 def sections(text: Column) -> Column:
