@@ -20,13 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foliant.llm.packed import give_back
 from foliant.llm.pretokens import pieces
 from foliant.session import ship
 
 #: Pre-tokens that a worker remembers; beyond that it starts afresh. Bounds memory, never results.
 CACHE = 400_000
 #: Codepoints handled at a time.
-BLOCK = 4_000_000
+BLOCK = 1_000_000
 
 
 class _Known(dict):
@@ -136,6 +137,7 @@ def round_trip(docs: DataFrame, vocabulary: str) -> DataFrame:
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         own = codec(vocabulary)
         for batch in batches:
             texts = [x or "" for x in batch.column("text").to_pylist()]

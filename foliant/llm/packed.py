@@ -11,6 +11,7 @@ The input should be a scan or a written table, so that a task which runs again m
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -68,8 +69,17 @@ def unpack_sorted(data: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
 
 
+def give_back() -> None:
+    """Hands freed memory back to the system; a reused worker otherwise keeps the most that any task took."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = CHUNK_BYTES) -> Iterator[tuple[int, pa.Table]]:
     """Tables of about ``most`` bytes of ``column``, each with a number of its own."""
+    give_back()
     context = TaskContext.get()
     number = (context.partitionId() if context else 0) << 24
     held: list[pa.RecordBatch] = []

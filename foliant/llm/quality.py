@@ -34,7 +34,7 @@ FOLDS, TEST, CALIBRATE = 4, 2, 1
 #: Random features, width of the kernel, ridge, and bins of the isotonic fit.
 FEATURES, WIDTH, RIDGE, BINS = 256, 3.0, 1e-3, 1000
 #: Bytes of text whose statistics are computed at a time (their arrays take about thirty times as much).
-STATISTICS_BYTES = 4 << 20
+STATISTICS_BYTES = 1 << 20
 #: Scores from here on are predicted 1.
 ACCEPT = 0.7
 
