@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-#: Groups that the partial sums of partitions are added up in before the driver adds these.
+#: Groups that the partial sums of partitions are added up in before one task adds these.
 SUMS = 16
 #: Bytes of text in a chunk (a longer document is a chunk of its own).
 CHUNK_BYTES = 8 << 20
@@ -139,7 +139,7 @@ def bucket_cuts(keys: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def partition_sum(rows: DataFrame, partial, size: int) -> np.ndarray:
-    """The sum over partitions of vectors of doubles: partitions, then SUMS groups, then the driver."""
+    """The sum over partitions of vectors of doubles: partitions, then SUMS groups, then one row for the driver."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size)
@@ -152,7 +152,8 @@ def partition_sum(rows: DataFrame, partial, size: int) -> np.ndarray:
         total = np.zeros(size)
         for v in group.column("v").to_pylist():
             total += np.frombuffer(v)
-        return pa.table({"v": pa.array([total.tobytes()], pa.binary())})
+        return pa.table({"g": pa.array([0], pa.int32()), "v": pa.array([total.tobytes()], pa.binary())})
 
-    parts = rows.mapInArrow(each, "g int, v binary").groupBy("g").applyInArrow(add, "v binary")
-    return np.sum([np.zeros(size), *(np.frombuffer(r["v"]) for r in parts.collect())], axis=0)
+    parts = rows.mapInArrow(each, "g int, v binary").groupBy("g").applyInArrow(add, "g int, v binary")
+    whole = parts.groupBy("g").applyInArrow(add, "g int, v binary").first()
+    return np.frombuffer(whole["v"]).copy() if whole else np.zeros(size)
