@@ -1,23 +1,24 @@
-"""Benchmark decontamination by latent semantic retrieval (operator 5).
+"""Benchmark decontamination by weighted containment of passages (operator 5).
 
 1. The benchmark's words are the vocabulary; the document frequency of each is counted over
-   all documents, a sum over partitions of the vocabulary's size.
-2. Passages (windows of words) become TF-IDF vectors. A randomised SVD finds the latent
-   space: a random block is multiplied by A'A twice, each time as a sum over partitions, made
-   orthogonal, and the small Gram matrix in that basis gives the singular vectors. A is made
-   of the benchmark's passages and those of a bounded sample of documents, in equal weight.
-3. Every window of every document is compared with every item by cosine in that space. Sums
-   of each word's greatest contribution bound a window's cosines from above; windows that
-   cannot reach the least cosine are skipped before they are projected.
+   all documents, a sum over partitions of the vocabulary's size. A word weighs by the share
+   of documents that hold it; words outside the benchmark have no weight anywhere, so an
+   item's verdict does not change as the corpus grows.
+2. An index leads from an item's rarest words to the item. The words left out of it weigh
+   less than what a confirmed pair must have in common, so every region that can be confirmed
+   meets the rest of that weight among the indexed ones (a prefix filter: it drops only pairs
+   that the confirmation would drop).
+3. Every window of every document is looked up with the words around it, against all items.
 4. A candidate is confirmed by the weighted longest common subsequence of the item and the
    region around the window (paraphrases keep most rare words in order), or by a lower one
    together with the answer check: the item's last sentence is found among the region's words.
+   ``cosine`` is that of the TF-IDF vectors of item and window, and decides nothing.
 
 Defined cases: null and empty texts contain nothing; null or empty items are passed over; an
 empty benchmark contaminates nothing; very long texts are searched whole; repeated rows give
 repeated rows; equal items each give a row; other columns are not read.
 
-The benchmark (its words, items and latent vectors) goes to the tasks. Its size is checked:
+The benchmark (its words, items and index) goes to the tasks. Its size is checked:
 beyond ``BLOCK_ITEMS`` items the work is done block by block.
 """
 
@@ -33,15 +34,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliant.llm.packed import chunks, partition_sum, words
-from foliant.session import settle, ship
+from foliant.session import ship
 
 #: Words of a window and between windows; a span of WINDOW - STRIDE + 1 words stands whole in one.
 WINDOW, STRIDE = 32, 16
-#: Documents, about, whose passages join the benchmark's in the SVD; their weight against the
-#: benchmark's; dimensions at most.
-FIT_DOCS, FIT_WEIGHT, DIMENSIONS = 1000, 0.25, 256
-#: Least cosine of a candidate; least share of an item's weight in common; the same with the answer.
-COSINE, COMMON, COMMON_ANSWERED, ANSWERED = 0.28, 0.6, 0.45, 0.8
+#: Least share of an item's weight in common; the same with the answer; least share of the answer.
+COMMON, COMMON_ANSWERED, ANSWERED = 0.6, 0.45, 0.8
+#: Most weight of an item in the words that are not indexed (the most frequent ones); it must be below COMMON_ANSWERED.
+REST = 0.2
+#: Numbers that a step of the candidate search adds up at most (one stretch and its items at least).
+BATCH = 2 << 20
 #: Items of a block.
 BLOCK_ITEMS = 4096
 
@@ -55,10 +57,11 @@ class Items:
         self.ids = [i for i, _ in rows]
         self.vocabulary = vocabulary
         self.words = [codes[a:b] for a, b in zip(first, first[1:])]
-        self.answers = []
-        for _, text in rows:  # the last sentence's words
-            last = [s for s in re.split(r"(?<=[.!?])\s+", text.strip()) if s][-1]
-            self.answers.append(np.unique(self.look_up(words(pa.array([last]))[1])))
+        # the last sentence's words
+        last = [[s for s in re.split(r"(?<=[.!?])\s+", text.strip()) if s][-1] for _, text in rows]
+        codes, vocabulary, first = words(pa.array(last, pa.string()))
+        codes = self.look_up(vocabulary)[codes]
+        self.answers = [np.unique(codes[a:b]) for a, b in zip(first, first[1:])]
 
     def look_up(self, vocabulary: pa.Array) -> np.ndarray:
         """Numbers of words here, -1 for others."""
@@ -81,18 +84,6 @@ def _windows(first: np.ndarray, stride: int = STRIDE) -> tuple[np.ndarray, np.nd
     return begin, np.minimum(begin + WINDOW, first[1:][doc]), doc
 
 
-def _dense(codes: np.ndarray, begin: np.ndarray, end: np.ndarray, idf: np.ndarray, basis: np.ndarray) -> np.ndarray:
-    """Windows' TF-IDF vectors multiplied by a basis (vocabulary x dimensions)."""
-    grid = begin[:, None] + np.arange(WINDOW)
-    there = grid < end[:, None]
-    c = codes[np.minimum(grid, len(codes) - 1)]
-    weight = np.where(there & (c >= 0), idf[c], 0.0)
-    out = np.zeros((len(begin), basis.shape[1]), basis.dtype)
-    for k in range(WINDOW):
-        out += weight[:, k, None].astype(basis.dtype) * basis[c[:, k]]
-    return out
-
-
 def document_frequencies(docs: DataFrame, items: Items) -> tuple[np.ndarray, int]:
     """How many documents hold each word of the benchmark, and how many there are."""
     size = len(items.vocabulary)
@@ -112,77 +103,92 @@ def document_frequencies(docs: DataFrame, items: Items) -> tuple[np.ndarray, int
     return sums[:size], int(sums[size])
 
 
-def latent_space(docs: DataFrame, items: Items, idf: np.ndarray, n_docs: int) -> np.ndarray:
-    """Right singular vectors (vocabulary x dimensions) of the passages' TF-IDF matrix."""
-    size = len(items.vocabulary)
-    share = min(1.0, FIT_DOCS / max(1, n_docs))
-    # By the text's hash: copies are in or out together.
-    sample = settle(docs.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20))).select("text"), "passages")
-    own_first = np.concatenate([[0], np.cumsum([len(w) for w in items.words])]).astype(np.int64)
-    own = np.concatenate(items.words), *_windows(own_first)[:2]
-    most = min(DIMENSIONS, size, len(items.ids) + 32)
-
-    def gram(codes, begin, end, basis):
-        """A'A basis, |A|^2 and (A basis)'(A basis) for unit rows A of windows."""
-        out, mass, small = np.zeros((size, basis.shape[1])), 0.0, np.zeros((basis.shape[1],) * 2)
-        for i in range(0, len(begin), 1024):
-            b, e = begin[i : i + 1024], end[i : i + 1024]
-            grid = b[:, None] + np.arange(WINDOW)
-            c = codes[np.minimum(grid, len(codes) - 1)]
-            row, column = np.nonzero((grid < e[:, None]) & (c >= 0))
-            a = np.zeros((len(b), size), np.float32)
-            np.add.at(a, (row, c[row, column]), idf[c[row, column]].astype(np.float32))
-            a = a[a.any(1)]
-            a /= np.linalg.norm(a, axis=1, keepdims=True)
-            y = a @ basis.astype(np.float32)
-            out += a.T @ y
-            mass += len(a)
-            small += y.T @ y
-        return out, mass, small
-
-    def passes(basis: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        d = basis.shape[1]
-
-        def run(batch: pa.RecordBatch) -> np.ndarray:
-            total = np.zeros(size * d + 1 + d * d)
-            for _, part in chunks(iter([batch])):
-                codes, first = _numbered(items, part.column("text"))
-                if len(codes):
-                    out, mass, small = gram(codes, *_windows(first, WINDOW)[:2], basis)
-                    total += np.concatenate([out.ravel(), [mass], small.ravel()])
-            return total
-
-        sums = partition_sum(sample, run, size * d + 1 + d * d)
-        out, mass, small = gram(*own, basis)
-        even = FIT_WEIGHT * mass / max(sums[size * d], 1e-9)
-        return out + even * sums[: size * d].reshape(size, d), small + even * sums[size * d + 1 :].reshape(d, d)
-
-    basis = np.linalg.qr(np.random.default_rng(7).normal(size=(size, most)))[0]
-    for _ in range(2):
-        basis = np.linalg.qr(passes(basis)[0])[0]
-    values, vectors = np.linalg.eigh(passes(basis)[1])
-    return (basis @ vectors[:, ::-1][:, : max(1, int((values > 1e-9 * values[-1]).sum()))]).astype(np.float32)
-
-
-def common_share(item: np.ndarray, region: np.ndarray, idf: np.ndarray) -> float:
-    """Weight of the longest common subsequence of words, as a share of the item's weight."""
-    best = np.zeros(len(region) + 1)
-    for w in item:
-        best[1:] = np.maximum(best[1:], best[:-1] + idf[w] * (region == w))
-        np.maximum.accumulate(best, out=best)
-    return float(best[-1] / max(1e-12, idf[item].sum()))
+def bag_shares(own: np.ndarray, regions: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """Weight of the items' words that their regions hold, in any order, as shares; a column of each is a pair (see ``padded``)."""
+    there = np.zeros(own.shape[1])
+    for w in own:
+        there += idf[w] * (regions == w).any(0)
+    return there / idf[own].sum(0)
+
+
+def common_shares(own: np.ndarray, regions: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """Weight of the longest common subsequences of words, as shares of the items' weights."""
+    best = np.zeros((len(regions) + 1, own.shape[1]))
+    for w in own:
+        best[1:] = np.maximum(best[1:], best[:-1] + idf[w] * (regions == w))
+        np.maximum.accumulate(best, axis=0, out=best)
+    return best[-1] / idf[own].sum(0)
+
+
+def padded(parts: list[np.ndarray], fill: int) -> np.ndarray:
+    """Word lists as the columns of one array."""
+    out = np.full((max(map(len, parts)), len(parts)), fill)
+    for i, part in enumerate(parts):
+        out[: len(part), i] = part
+    return out
+
+
+class Index:
+    """The items of up to ``most`` words (and over half of it), by the rarest words of each."""
+
+    def __init__(self, items: Items, idf: np.ndarray, members: np.ndarray, most: int):
+        self.members, self.most = members, most
+        word, item, share, self.need = [], [], [], np.zeros(len(members))
+        for i, k in enumerate(members.tolist()):
+            own, times = np.unique(items.words[k], return_counts=True)
+            part = idf[own] * times
+            order = np.argsort(-idf[own], kind="stable")
+            whole = np.cumsum(part[order]) / part.sum()
+            n = int(np.searchsorted(whole, 1 - REST)) + 1
+            # What the words left out could add; a region with COMMON_ANSWERED of the item has the difference from the others.
+            self.need[i] = COMMON_ANSWERED - (1 - whole[min(n, len(own)) - 1]) - 1e-9
+            word.append(own[order[:n]])
+            item.append(np.full(len(word[-1]), i))
+            share.append(part[order[:n]] / part.sum())
+        word = np.concatenate(word)
+        order = np.argsort(word, kind="stable")
+        self.item, self.share = np.concatenate(item)[order], np.concatenate(share)[order]
+        # Postings of a word; the last entry is that of words outside the vocabulary.
+        self.count = np.append(np.bincount(word, minlength=len(idf)), 0)
+        self.start = np.cumsum(self.count) - self.count
+
+    def near(self, codes: np.ndarray, low: np.ndarray, high: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(stretch, item) of every pair that can share COMMON_ANSWERED of the item's weight; a stretch is codes[low:high]."""
+        at = np.flatnonzero(self.count[codes])
+        a, b = np.searchsorted(at, low), np.searchsorted(at, high)
+        cost = np.concatenate([[0], np.cumsum(self.count[codes[at]])])
+        reach = np.cumsum(cost[b] - cost[a] + len(self.members))
+        i = 0
+        while i < len(low):
+            j = max(i + 1, int(np.searchsorted(reach, (reach[i - 1] if i else 0) + BATCH, side="right")))
+            n = b[i:j] - a[i:j]
+            stretch = np.repeat(np.arange(j - i), n)
+            word = codes[at[np.arange(n.sum()) + np.repeat(a[i:j] - (np.cumsum(n) - n), n)]]
+            pairs = np.unique(stretch * len(self.count) + word)
+            stretch, word = pairs // len(self.count), pairs % len(self.count)
+            n = self.count[word]
+            post = np.arange(n.sum()) + np.repeat(self.start[word] - (np.cumsum(n) - n), n)
+            key = np.repeat(stretch, n) * len(self.members) + self.item[post]
+            sums = np.bincount(key, self.share[post], (j - i) * len(self.members)).reshape(j - i, -1)
+            s, k = np.nonzero(sums >= self.need)
+            yield s + i, self.members[k]
+            i = j
 
 
 class Searcher:
     """Finds items in batches of texts."""
 
-    def __init__(self, items: Items, idf: np.ndarray, unknown: float, space: np.ndarray):
-        self.items, self.idf, self.unknown, self.space = items, idf, unknown, space
-        q = np.stack([idf[w] @ space[w] for w in items.words])
-        self.q = (q / np.maximum(1e-12, np.linalg.norm(q, axis=1, keepdims=True))).astype(np.float32)
-        # The most that one occurrence of a word can add to any item's product; nothing for other words.
-        most = [(idf[i : i + 4096, None] * (space[i : i + 4096] @ self.q.T)).max(1) for i in range(0, len(idf), 4096)]
-        self.most = np.append(np.maximum(0.0, np.concatenate(most)), 0.0)
+    def __init__(self, items: Items, idf: np.ndarray):
+        self.items, self.idf = items, idf
+        self.length = np.array([len(w) for w in items.words])
+        most = np.array([max(STRIDE, 1 << (len(w) - 1).bit_length()) for w in items.words])
+        self.indexes = [Index(items, idf, np.flatnonzero(most == m), int(m)) for m in np.unique(most)]
+
+    def cosine(self, item: np.ndarray, window: np.ndarray) -> float:
+        """Cosine of the TF-IDF vectors of an item and a window, of the benchmark's words."""
+        size = len(self.idf)
+        a, b = (np.bincount(x[x >= 0], minlength=size) * self.idf for x in (item, window))
+        return float(a @ b / max(1e-12, np.sqrt((a @ a) * (b @ b))))
 
     def find(self, texts: pa.Array) -> list[tuple[int, int, float, float, float]]:
         """(text, item, cosine, common share, answer share) of each confirmed pair, by its best window."""
@@ -190,36 +196,47 @@ class Searcher:
         if not len(codes):
             return []
         begin, end, doc = _windows(first)
-        weight = np.append(self.idf, self.unknown)[codes] ** 2
-        whole = np.concatenate([[0.0], np.cumsum(weight)])
-        reach = np.concatenate([[0.0], np.cumsum(self.most[codes])])
-        all_of = whole[end] - whole[begin]
-        # An upper bound on the cosine with every item: only windows that it lets through are projected.
-        able = np.flatnonzero(reach[end] - reach[begin] >= COSINE * np.sqrt(all_of) * (1 - 1e-6))
         found: dict[tuple[int, int], tuple[float, float, float]] = {}
-        for i in range(0, len(able), 4096):
-            some = able[i : i + 4096]
-            x = _dense(codes, begin[some], end[some], self.idf, self.space)
-            cosine = (x @ self.q.T) / np.sqrt(np.maximum(all_of[some], 1e-12))[:, None]
-            for w, item in zip(*np.nonzero(cosine >= COSINE)):
-                k = some[w]
-                own = self.items.words[item]
-                low, high = first[doc[k]], first[doc[k] + 1]
-                region = codes[max(low, begin[k] - len(own)) : min(high, end[k] + len(own))]
-                # words in common, in any order, bound the subsequence from above
-                if self.idf[own[np.isin(own, region)]].sum() < COMMON_ANSWERED * self.idf[own].sum():
-                    continue
-                common = common_share(own, region, self.idf)
-                answer = self.items.answers[item]
-                answered = float(self.idf[answer[np.isin(answer, region)]].sum() / max(1e-12, self.idf[answer].sum()))
-                if common >= COMMON or common >= COMMON_ANSWERED and answered >= ANSWERED:
-                    key = int(doc[k]), int(item)
-                    found[key] = max(found.get(key, (0.0, 0.0, 0.0)), (common, float(cosine[w, item]), answered))
+        for index in self.indexes:
+            # A stretch holds the regions of some windows in a row.
+            row = (begin - first[doc]) // max(STRIDE, index.most)
+            fresh = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (row[1:] != row[:-1])))
+            last = np.append(fresh[1:], len(doc)) - 1
+            low = np.maximum(first[doc[fresh]], begin[fresh] - index.most)
+            high = np.minimum(first[doc[fresh] + 1], end[last] + index.most)
+            for stretches, members in index.near(codes, low, high):
+                n = last[stretches] + 1 - fresh[stretches]
+                window = np.repeat(fresh[stretches] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                item = np.repeat(members, n)
+                step = max(1, BATCH // (4 * (WINDOW + 2 * index.most)))
+                for i in range(0, len(window), step):
+                    self.confirm(codes, first, begin, end, doc, window[i : i + step], item[i : i + step], found)
         return [(d, i, round(c, 4), round(s, 4), round(a, 4)) for (d, i), (s, c, a) in sorted(found.items())]
 
+    def confirm(self, codes: np.ndarray, first: np.ndarray, begin: np.ndarray, end: np.ndarray, doc: np.ndarray, windows: np.ndarray, members: np.ndarray, found: dict) -> None:
+        """Adds to ``found`` the pairs of window and item where the region around the window holds the item."""
+        # The vocabulary's size stands for no word in items, -1 for other words and none in regions.
+        idf = np.append(self.idf, 0.0)
+        long = self.length[members]
+        low, high = np.maximum(first[doc[windows]], begin[windows] - long), np.minimum(first[doc[windows] + 1], end[windows] + long)
+        own = padded([self.items.words[i] for i in members], len(self.idf))
+        regions = padded([codes[a:b] for a, b in zip(low, high)], -1)
+        # words in common, in any order, bound the subsequence from above
+        able = np.flatnonzero(bag_shares(own, regions, idf) >= COMMON_ANSWERED - 1e-9)
+        if not len(able):
+            return
+        common = common_shares(own[:, able], regions[:, able], idf)
+        for i in np.flatnonzero(common >= COMMON_ANSWERED):
+            k, item, region = windows[able[i]], int(members[able[i]]), regions[:, able[i]]
+            answer = self.items.answers[item]
+            answered = float(self.idf[answer[np.isin(answer, region)]].sum() / max(1e-12, self.idf[answer].sum()))
+            if common[i] >= COMMON or answered >= ANSWERED:
+                pair = int(doc[k]), item
+                found[pair] = max(found.get(pair, (0.0, 0.0, 0.0)), (float(common[i]), self.cosine(self.items.words[item], codes[begin[k] : end[k]]), answered))
+
 
 def searchers(docs: DataFrame, benchmark: DataFrame) -> list[Searcher]:
-    """A searcher per block of items: statistics over all documents, then the latent space."""
+    """A searcher per block of items, with statistics over all documents."""
     ship(docs.sparkSession)
     clean = benchmark.where(F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text")
     blocks = max(1, -(-clean.count() // BLOCK_ITEMS))
@@ -229,7 +246,7 @@ def searchers(docs: DataFrame, benchmark: DataFrame) -> list[Searcher]:
         if items.ids:
             df, n = document_frequencies(docs, items)
             idf = np.log((n + 1.0) / (df + 1.0)) + 1e-3
-            out.append(Searcher(items, idf, float(np.log(n + 1.0) + 1e-3), latent_space(docs, items, idf, n)))
+            out.append(Searcher(items, idf))
     return out
 
 

@@ -1,6 +1,7 @@
 """Operators with fitted models: planted cases and held-out accuracy; and the whole pipeline."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -61,6 +62,42 @@ def test_decontamination_edges(spark):
     assert decontamination.decontaminate(docs, items.limit(0)).count() == 5
 
 
+def test_decontamination_finds_every_copy_of_many_items(spark):
+    """A full block of items: each is found wherever it stands, as by trying every region against every item."""
+    docs = table(spark, MEDIUM, "documents").where("text is not null").orderBy("doc_id").limit(400).select("doc_id", "text")
+    own = {r.doc_id: r.text.split() for r in docs.collect()}
+    random, rows, ids = np.random.default_rng(11), [], [d for d, w in own.items() if len(w) >= 100]
+    for i in range(decontamination.BLOCK_ITEMS):
+        doc = ids[int(random.integers(len(ids)))]
+        at = int(random.integers(len(own[doc]) - 38))
+        rows.append((i, " ".join(own[doc][at : at + 38]), doc))
+    items = spark.createDataFrame(rows, "item_id long, text string, source long").cache()
+    found = {(r.doc_id, r.item_id) for r in decontamination.contaminated(docs, items).collect()}
+    assert {(doc, i) for i, _, doc in rows} <= found
+    # Brute force over all windows of some documents and all items.
+    (searcher,) = decontamination.searchers(docs, items)
+    some = [d for d in ids if len(own[d]) < 400][:3]
+    for d in some:
+        codes, first = decontamination._numbered(searcher.items, pa.array([" ".join(own[d])]))
+        want = set()
+        for begin, end, _ in zip(*decontamination._windows(first)):
+            for k, item in enumerate(searcher.items.words):
+                region = codes[max(0, begin - len(item)) : end + len(item)]
+                weight = searcher.idf[item].sum()
+                if searcher.idf[item[np.isin(item, region)]].sum() < 0.45 * weight:
+                    continue
+                best = [0.0] * (len(region) + 1)
+                for w in item:
+                    before = 0.0
+                    for j, r in enumerate(region, 1):
+                        before, best[j] = best[j], max(best[j], best[j - 1], before + searcher.idf[w] * (w == r))
+                answer = searcher.items.answers[k]
+                answered = searcher.idf[answer[np.isin(answer, region)]].sum() >= 0.8 * searcher.idf[answer].sum()
+                if best[-1] >= (0.45 if answered else 0.6) * weight:
+                    want.add((d, searcher.items.ids[k]))
+        assert {x for x in found if x[0] == d} == want
+
+
 @pytest.fixture(scope="module")
 def staged(spark):
     docs, out = table(spark, SMALL, "documents"), []
