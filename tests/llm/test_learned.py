@@ -98,6 +98,16 @@ def test_decontamination_finds_every_copy_of_many_items(spark):
         assert {x for x in found if x[0] == d} == want
 
 
+def test_decontamination_verdict_does_not_follow_the_number_of_documents():
+    """A short item among words that the benchmark does not hold, with the same document shares in corpora of all sizes."""
+    items = decontamination.Items([(1, "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron"), (2, "one two three")])
+    share = np.full(len(items.vocabulary), 0.05)
+    text = " ".join(f"x{i}" for i in range(40)) + " alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron " + " ".join(f"y{i}" for i in range(40)) + " one two three"
+    for n in (10**3, 10**6, 10**9, 10**12):
+        searcher = decontamination.Searcher(items, np.log((n + 1) / (share * n + 1)) + 1e-3)
+        assert [(d, i, s) for d, i, _, s, _ in searcher.find(pa.array([text, "x y z"]))] == [(0, 0, 1.0), (0, 1, 1.0)]
+
+
 @pytest.fixture(scope="module")
 def staged(spark):
     docs, out = table(spark, SMALL, "documents"), []
