@@ -6,6 +6,10 @@ minimum-cost segmentation into dictionary words, dates, repeats, keyboard walks,
 brute-force spans, by dynamic programming over the value. Values that cost at least
 ``LEAST_BITS`` bits and lie outside the base spans become spans of kind ``guess``.
 
+The dictionary is fixed words of passwords and the words of all documents, ranked by how many
+documents hold them outside values in a credential context (so that a secret does not make
+itself a word). It goes to the tasks: ``MOST_WORDS`` words at most, the most frequent ones.
+
 Defined cases: a null or empty text has no spans; offsets count codepoints, ends exclusive;
 very long texts are scanned whole; values longer than ``LONGEST_VALUE`` are segmented in
 consecutive parts of that length whose costs add up; repeated rows give repeated rows; other
@@ -31,6 +35,9 @@ LEAST_BITS = 40.0
 #: Least length of a value in a credential context.
 SHORTEST_VALUE = 8
 LONGEST_VALUE = 256
+#: Words of the documents in the dictionary at most, and their length.
+MOST_WORDS = 1 << 18
+SHORTEST_WORD, LONGEST_WORD = 4, 24
 
 # The base patterns.
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
@@ -73,14 +80,23 @@ def _alphabet(value: str) -> float:
     return math.log2(max(10, size + 33 * bool(re.search("[^A-Za-z0-9]", value))))
 
 
-def _spans(value: str) -> list[tuple[int, int, float]]:
+def ranks(docs: DataFrame) -> dict[str, int]:
+    """The dictionary: fixed words, and the documents' words by descending document frequency (2 at least)."""
+    prose = F.regexp_replace("text", CONTEXT.pattern, " ")
+    words = docs.where(F.col("text").isNotNull()).select(F.explode(F.array_distinct(F.split(F.lower(prose), r"[^\p{L}]+"))).alias("word"))
+    words = words.where(F.length("word").between(SHORTEST_WORD, LONGEST_WORD)).groupBy("word").count().where("count > 1")
+    out = {r.word: i for i, r in enumerate(words.orderBy(F.desc("count"), "word").limit(MOST_WORDS).collect(), 1)}
+    return out | {w: min(i, out.get(w, i)) for w, i in RANK.items()}
+
+
+def _spans(value: str, rank_of: dict[str, int] = RANK) -> list[tuple[int, int, float]]:
     """Segments that cost less than brute force: (start, end, log2 guesses)."""
     n, low, out = len(value), value.lower(), []
     plain = low.translate(_LEET)
     for i in range(n):
-        for j in range(i + 3, min(n, i + 12) + 1):
+        for j in range(i + 3, min(n, i + LONGEST_WORD) + 1):
             for text, more in ((low, 0.0), (plain, 1.5)):
-                if (rank := RANK.get(text[i:j])) is not None:
+                if (rank := rank_of.get(text[i:j])) is not None:
                     upper = sum(c.isupper() for c in value[i:j])
                     case = 0.0 if not upper else 1.0 if upper == j - i or value[i].isupper() and upper == 1 else float(min(upper, j - i - upper) + 1)
                     out.append((i, j, math.log2(rank) + more + case + 1))
@@ -117,17 +133,17 @@ def _repeats(value: str, cost: list[list[float]] | None, per_char: float) -> lis
     return out
 
 
-def guess_bits(value: str) -> float:
+def guess_bits(value: str, rank_of: dict[str, int] = RANK) -> float:
     """log2 of the guesses for the cheapest segmentation of ``value``.
 
     best[j] = min over segments (i, j) of best[i] + cost, where one brute-force span of any
     length may end at j. Each further segment costs one bit more.
     """
     if len(value) > LONGEST_VALUE:
-        return sum(guess_bits(value[i : i + LONGEST_VALUE]) for i in range(0, len(value), LONGEST_VALUE))
+        return sum(guess_bits(value[i : i + LONGEST_VALUE], rank_of) for i in range(0, len(value), LONGEST_VALUE))
     n, per_char = len(value), _alphabet(value)
     ending: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
-    for i, j, bits in _spans(value) + _repeats(value, None, per_char):
+    for i, j, bits in _spans(value, rank_of) + _repeats(value, None, per_char):
         ending[j].append((i, bits))
     best = [0.0] + [math.inf] * n
     for j in range(1, n + 1):
@@ -138,7 +154,7 @@ def guess_bits(value: str) -> float:
     return best[n]
 
 
-def find(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+def find(text: str, rank_of: dict[str, int] = RANK) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """Base spans and guessed spans of a text: (start, index of kind, end)."""
     base = []
     low = text.lower()
@@ -153,7 +169,7 @@ def find(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, in
         for m in CONTEXT.finditer(text):
             value = m[1].rstrip(".!?)")
             a, b = m.start(1), m.start(1) + len(value)
-            if b - a >= SHORTEST_VALUE and not any(x < b and a < y for x, _, y in base) and guess_bits(value) >= LEAST_BITS:
+            if b - a >= SHORTEST_VALUE and not any(x < b and a < y for x, _, y in base) and guess_bits(value, rank_of) >= LEAST_BITS:
                 guessed.append((a, 3, b))
     return base, guessed
 
@@ -165,12 +181,13 @@ def _said(spans: list[tuple[int, int, int]]) -> str:
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, counts by kind, base_sha256 and spans of every row of ``docs``."""
     ship(docs.sparkSession)
+    rank_of = ranks(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for text in batch.column("text").to_pylist():
-                base, guessed = find(text or "")
+                base, guessed = find(text or "", rank_of)
                 kinds = [k for _, k, _ in base]
                 rows.append((kinds.count(0), kinds.count(1), kinds.count(2), len(guessed), hashlib.sha256(_said(base).encode()).hexdigest(), _said(base + guessed)))
             columns = list(zip(*rows)) or [()] * 6
@@ -186,13 +203,14 @@ def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     All columns stay; ``n_chars``, where there is one, is the new text's length.
     """
     ship(docs.sparkSession)
+    rank_of = ranks(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, lengths = [], []
             for text in batch.column("text").to_pylist():
                 if text:
-                    base, guessed = find(text)
+                    base, guessed = find(text, rank_of)
                     out, at = [], 0
                     for a, _, b in sorted(base + guessed):
                         if b <= at:

@@ -134,6 +134,16 @@ def test_redact_keeps_clean_text(spark):
     assert rows[0].text == "clean text" and rows[2].text is None and "hunter2" not in rows[1].text and secret_scan.redact(docs).columns == docs.columns
 
 
+def test_words_of_the_documents_are_no_secrets(spark):
+    plain = ["Your password is incorrect", "Authorization: unsuccessful", "pass is contrase\u00f1averdadera"]
+    secret = "pwd: qzjxkvwpyhtgb"
+    prose = ["An incorrect and unsuccessful attempt", "incorrect, UNSUCCESSFUL; contrase\u00f1averdadera", "contrase\u00f1averdadera"]
+    docs = docs_frame(spark, [*plain, *prose, secret, secret])
+    got = {r.text: r.spans for r in secret_scan.scan(docs).join(docs.where("doc_id is not null").select("doc_id", "text"), "doc_id").collect()}
+    assert [got[t] for t in plain[:3]] == [""] * 3 and got[secret] == "guess:5:18"
+    assert {r.text for r in secret_scan.redact(docs).collect()} >= {*plain, "pwd: [secret]"}
+
+
 def jaccard_brute(rows):
     sets = []
     for _, text in rows:
