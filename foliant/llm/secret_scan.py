@@ -4,7 +4,7 @@ Three fixed patterns find the base spans. Beside them, values in a credential co
 credential word, then a separator, then a value) are judged by how many guesses they cost: a
 minimum-cost segmentation into dictionary words, dates, repeats, keyboard walks, sequences and
 brute-force spans, by dynamic programming over the value. Values that cost at least
-``LEAST_BITS`` bits and lie outside the base spans become spans of kind ``guess``.
+``LEAST_BITS`` bits and do not lie within a base span become spans of kind ``guess``.
 
 The dictionary is fixed words of passwords and the words of all documents, ranked by how many
 documents hold them outside values in a credential context (so that a secret does not make
@@ -46,10 +46,12 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 _ASSIGN_WORDS = ("passw", "secret", "token", "apikey", "api_key")
 _CONTEXT_WORDS = ("pwd", "pass", "cred", "auth", "bearer", "login", "private", "access", "key", "secret", "token")
-CONTEXT = re.compile(
-    r"""(?i:\b(?:pwd|pass|passphrase|passcode|password|passwd|credentials?|auth(?:orization)?|bearer|login|private[_ -]?key|access[_ -]?key|client[_ -]?secret|secret[_ -]?key|auth[_ -]?token))\b["']?(?:\x20*[:=]\x20*|\x20+is\x20+)(?:[Bb]earer\x20+)?["']?([^\s"'<>,;|]+)""",
-    re.ASCII,
-)
+# The credential words of the base pattern stand in any name; the others at a name's beginning or after a mark.
+_NAMES = r"""(?i:(?:password|passwd|secret|token|api[_ -]?key)[A-Za-z0-9_-]{0,64}|(?<![A-Za-z0-9])(?:pwd|pass|passphrase|passcode|credentials?|auth(?:orization)?|bearer|login|private[_ -]?key|access[_ -]?key|secret[_ -]?key)(?:[_-][A-Za-z0-9_-]{0,64}|[0-9]{0,9})(?![A-Za-z0-9_-]))"""
+_BEFORE = _NAMES + r"""["']?(?:\x20*[:=]\x20*|\x20+is\x20+)(?:[Bb]earer\x20+)?["']?"""
+_VALUE = r"""[^\s"'<>,;|]+"""
+# The value is looked at, not taken: a value may hold a name with a value of its own.
+CONTEXT = re.compile(f"{_BEFORE}(?=({_VALUE}))", re.ASCII)
 
 # Common words of passwords, and rows of a keyboard.
 WORDS = """password pass admin user login welcome monkey dragon master letmein qwerty secret love princess
@@ -82,7 +84,7 @@ def _alphabet(value: str) -> float:
 
 def ranks(docs: DataFrame) -> dict[str, int]:
     """The dictionary: fixed words, and the documents' words by descending document frequency (2 at least)."""
-    prose = F.regexp_replace("text", CONTEXT.pattern, " ")
+    prose = F.regexp_replace("text", _BEFORE + _VALUE, " ")
     words = docs.where(F.col("text").isNotNull()).select(F.explode(F.array_distinct(F.split(F.lower(prose), r"[^\p{L}]+"))).alias("word"))
     words = words.where(F.length("word").between(SHORTEST_WORD, LONGEST_WORD)).groupBy("word").count().where("count > 1")
     out = {r.word: i for i, r in enumerate(words.orderBy(F.desc("count"), "word").limit(MOST_WORDS).collect(), 1)}
@@ -169,9 +171,9 @@ def find(text: str, rank_of: dict[str, int] = RANK) -> tuple[list[tuple[int, int
         for m in CONTEXT.finditer(text):
             value = m[1].rstrip(".!?)")
             a, b = m.start(1), m.start(1) + len(value)
-            if b - a >= SHORTEST_VALUE and not any(x < b and a < y for x, _, y in base) and guess_bits(value, rank_of) >= LEAST_BITS:
+            if b - a >= SHORTEST_VALUE and not any(x <= a and b <= y for x, _, y in base) and guess_bits(value, rank_of) >= LEAST_BITS:
                 guessed.append((a, 3, b))
-    return base, guessed
+    return base, sorted(set(guessed))
 
 
 def _said(spans: list[tuple[int, int, int]]) -> str:

@@ -144,6 +144,18 @@ def test_words_of_the_documents_are_no_secrets(spark):
     assert {r.text for r in secret_scan.redact(docs).collect()} >= {*plain, "pwd: [secret]"}
 
 
+def test_every_credential_name_has_its_value_judged(spark):
+    values = {
+        'token: "{}"': "p@55-x!9Kq", 'secret = "{}"': "q7$Zk!2p#Lm", "api_key = '{}'": "ab!cd$ef#gh%12", "access_token: {}": "p@55-x!9Kq", "DB_PASSWORD={}": "q7$Zk!2p#Lm",
+        "password_2 = {}": "q7$Zk!2p#Lm", "dbPassword={}": "q7$Zk!2p#Lm", "my-pwd: {}": "q7$Zk!2p#Lm", "token: auth={}": "q7$Zk!2p#Lm", "password={}": "abcDEF123456xyz$q7#Zk!2p",
+    }
+    docs = spark.createDataFrame([(i, k.format(v)) for i, (k, v) in enumerate(values.items())], "doc_id long, text string")
+    redacted = {r.doc_id: r.text for r in secret_scan.redact(docs).collect()}
+    for i, v in enumerate(values.values()):
+        assert "[secret]" in redacted[i] and not any(v[j : j + 3] in redacted[i] for j in range(len(v) - 2)), redacted[i]
+    assert secret_scan.find("the compass is wrong-headed-2x")[1] == []
+
+
 def jaccard_brute(rows):
     sets = []
     for _, text in rows:
