@@ -9,8 +9,6 @@ import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
-_SHIPPED = "foliant.shipped"
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the Parquet tables of a data folder, read by Spark's own reader (any Hadoop path)."""
@@ -39,19 +37,17 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``.
+    """The folder all executors share: ``spark.checkpoint.dir``, or the context's own checkpoint folder.
 
-    Only where that is unset (tests on one machine) a local folder is used and set.
+    Only where neither is set and everything runs on one machine (tests), a local folder is used and set.
     """
     context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
-        folder = getattr(context, "_foliant_shared", None)
-        if folder is None:
-            folder = tempfile.mkdtemp(prefix="foliant-checkpoints-")
-            context._foliant_shared = folder
-        if context.getCheckpointDir() is None:
-            context.setCheckpointDir(folder)
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="foliant-checkpoints-")
+        context.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
@@ -63,4 +59,13 @@ def settle(df: DataFrame, label: str = "cut") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/foliant/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written._settled = path
+    return written
+
+
+def forget(written: DataFrame) -> None:
+    """Delete a table of :func:`settle` that nothing will read again."""
+    context = written.sparkSession.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(written._settled)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)

@@ -11,7 +11,7 @@ def text_files(spark: SparkSession, path: str) -> DataFrame:
 
     The title is the first ``# `` line, else the file's name without its ending.
     """
-    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.{txt,md}").option("wholetext", True).text(path).select(F.col("value").alias("text"), F.input_file_name().alias("source"))
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.{txt,md}").text(path, wholetext=True).select(F.col("value").alias("text"), F.input_file_name().alias("source"))
     heading = F.regexp_extract("text", r"(?m)^# (.+)$", 1)
     stem = F.regexp_extract("source", r"([^/]+?)(?:\.[^./]*)?$", 1)
     return files.where(F.trim(F.col("text"), F.lit(" \t\r\n")) != "").select(F.when(heading != "", F.trim(heading)).otherwise(stem).alias("title"), "text", "source")

@@ -90,7 +90,7 @@ def test_conflicting_answers_are_said_so(spark):
 
 
 def test_inflections(spark):
-    pairs = [("italia", "italiana", True), ("roma", "romana", False), ("storia", "storie", False), ("colore", "colore", True), ("poeta", "poetano", False), ("pietra", "pietrana", True)]
+    pairs = [("italia", "italiana", True), ("roma", "romana", False), ("storia", "storie", False), ("colore", "colore", True), ("poeta", "poetano", True), ("pietra", "pietrana", True)]
     df = spark.createDataFrame(pairs, "a string, b string, want boolean")
     assert [r.got == r.want for r in df.select("want", T.inflects(F.col("a"), F.col("b")).alias("got")).collect()] == [True] * len(pairs)
 
