@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.session import settle
+from foliant.session import forget, settle
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -33,7 +33,8 @@ def components(links: DataFrame) -> DataFrame:
         down = large.where("a <> b").distinct().select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         lows = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(lows, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
-        now = settle(small.where("a <> b").distinct(), "links")
+        last, now = now, settle(small.where("a <> b").distinct(), "links")
+        forget(last)  # the round's table is written; nothing reads the one before
         seen = now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
         if seen == before:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))

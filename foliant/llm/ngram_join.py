@@ -35,15 +35,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foliant.llm.components import components
-from foliant.llm.packed import bucket_cuts, buckets_for, chunks, hashes, mix, pack, pack_sorted, unpack, unpack_sorted, words
-from foliant.session import settle, ship
+from foliant.llm.packed import CHUNK_BYTES, CHUNK_ROWS, bucket_cuts, buckets_for, chunks, hashes, mix, pack, pack_sorted, unpack, unpack_sorted, words
+from foliant.session import forget, settle, ship
 
 #: Words of a shingle; least similarity, as a fraction of two integers.
 WIDTH, SIMILAR = 5, (80, 100)
 #: Representatives and shared shingles of a tile, at most (a larger representative is a tile of its own).
 TILE_DOCS, TILE_KEYS = 1024, 2_000_000
 #: Stands for a null doc_id where the least is looked for; ids that are broadcast, at most.
-NO_ID, BROADCAST_IDS = 1 << 62, 500_000
+NO_ID, BROADCAST_IDS = 1 << 62, 200_000
+#: Members from which a class counts as hot, and the parts that its members are dealt into.
+HOT_CLASS, SALTS = 100_000, 64
 
 _SENT = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("keys", pa.binary()), ("n", pa.binary()), ("docs", pa.binary()), ("own", pa.binary())])
 _SENT_DDL = "bucket int, chunk long, keys binary, n binary, docs binary, own binary"
@@ -157,21 +159,21 @@ def _sets(chunk: pa.Table) -> pa.Table:
     parts = list(zip(cuts, cuts[1:]))
     return pa.table(
         {
-            "uid": np.int64(rows[0]["chunk"]) * (1 << 20) + np.arange(len(own)), "doc_id": own["doc_id"], "n": own["n"], "d1": own["d1"], "d2": own["d2"],
+            "uid": np.int64(rows[0]["chunk"]) * CHUNK_ROWS + np.arange(len(own)), "doc_id": own["doc_id"], "n": own["n"], "d1": own["d1"], "d2": own["d2"],
             "shared": pa.array([b - a for a, b in parts], pa.int64()), "keys": pa.array([key[a:b].tobytes() for a, b in parts], pa.binary()), "df": pa.array([pack(df[a:b]) for a, b in parts], pa.binary()),
         },
         schema=_SETS,
     )
 
 
-def document_sets(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """uid, doc_id, n, digest (d1, d2), and the shingles that other documents hold too."""
+def document_sets(docs: DataFrame, width: int = WIDTH, most: int = CHUNK_BYTES, rows: int = CHUNK_ROWS) -> DataFrame:
+    """uid, doc_id, n, digest (d1, d2), and the shingles that other documents hold too; chunks have ``most`` bytes and ``rows`` rows at most."""
     ship(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     buckets = buckets_for(docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0])
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, part in chunks(batches):
+        for number, part in chunks(batches, "text", most, rows):
             yield from _send(number, part, buckets, width)
 
     sent = docs.mapInArrow(send, _SENT_DDL)
@@ -254,8 +256,8 @@ def _links(tile: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array([uids[a] for a, _ in pairs], pa.int64()), "b": pa.array([uids[b] for _, b in pairs], pa.int64())})
 
 
-def _tiles(members: DataFrame) -> DataFrame:
-    """(group, low, high, side, ...): the members of each pair of blocks to be met.
+def _tiles(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The written blocks, and (group, low, high, side, ...): the members of each pair of blocks to be met.
 
     A group's members in order of size are cut into blocks of bounded number and keys, by the
     running sum over its distinct sizes; many members of one size are split by hash. Where a
@@ -277,7 +279,12 @@ def _tiles(members: DataFrame) -> DataFrame:
     alone = placed.select("*", F.col("block").alias("low"), F.col("block").alias("high")).select(*columns, F.lit(0).alias("side"))
     first = placed.join(pairs.withColumn("block", F.col("low")), ["root", "block"]).select(*columns, F.lit(0).alias("side"))
     second = placed.join(pairs.withColumn("block", F.col("high")), ["root", "block"]).select(*columns, F.lit(1).alias("side"))
-    return alone.unionByName(first).unionByName(second)
+    return placed, alone.unionByName(first).unionByName(second)
+
+
+def sized(small: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
+    """``small`` (of some tens of bytes a row), to be broadcast if it has no more than ``most`` rows."""
+    return F.broadcast(small) if small.limit(most + 1).count() <= most else small
 
 
 def jaccard_classes(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
@@ -285,10 +292,23 @@ def jaccard_classes(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, Dat
     linked representative's component."""
     sets = settle(document_sets(docs, width), "sets")
     # Classes of equal sets: the least (doc_id, uid) represents; rows of empty sets stand alone.
-    key = F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.col("uid"))
-    classes = sets.where("n > 0").groupBy("d1", "d2", "n").agg(F.min(key).alias("rep"))
-    able = sets.where(F.col("shared") >= F.ceil(F.col("n") * SIMILAR[0] / SIMILAR[1]))  # others cannot overlap enough
-    reps = able.select("uid", "n", "shared", "keys").join(classes.select(F.col("rep.uid").alias("uid")), "uid", "left_semi")
+    own = F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.col("uid"))
+    grouped = sets.where("n > 0").groupBy("d1", "d2", "n").agg(F.min(own).alias("rep"), F.count("*").alias("members"))
+    classes = settle(grouped.where("members > 1"), "classes")
+    # A class that a third of all rows are in is one small row: its members meet it by salt where the classes are too many to broadcast.
+    salts = F.when(F.col("members") > HOT_CLASS, SALTS).otherwise(1)
+    salted = classes.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).select("d1", "d2", "n", "rep", "salt")
+    if classes.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        joined = sets.join(F.broadcast(classes.select("d1", "d2", "n", "rep")), ["d1", "d2", "n"], "left")
+    else:
+        hot = sized(classes.where(F.col("members") > HOT_CLASS).select("d1", "d2", "n", F.lit(True).alias("hot")))
+        dealt = sets.join(hot, ["d1", "d2", "n"], "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("uid"), F.lit(SALTS)).cast("int")).otherwise(0))
+        joined = dealt.join(salted, ["d1", "d2", "n", "salt"], "left")
+    joined = joined.withColumn("rep", F.coalesce("rep", own))
+    named = joined.select("uid", "doc_id", "n", "d1", "d2", "rep")
+    # Sets with fewer shared shingles cannot overlap enough with any other.
+    able = (F.col("n") > 0) & (F.col("uid") == F.col("rep.uid")) & (F.col("shared") >= F.ceil(F.col("n") * SIMILAR[0] / SIMILAR[1]))
+    reps = joined.where(able).select("uid", "n", "shared", "keys")
     entries = reps.mapInArrow(_prefix, "key long, uid long")
     # Representatives that share an entry: each is linked to the least of the entry.
     least = entries.groupBy("key").agg(F.min("uid").alias("b"), F.count("*").alias("m")).where("m > 1").select("key", "b")
@@ -296,11 +316,10 @@ def jaccard_classes(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, Dat
     groups = components(near)
     groups = groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct())
     members = reps.join(groups, reps.uid == groups.node).select("uid", "n", "shared", "keys", "root")
-    linked = _tiles(members).groupBy("root", "low", "high").applyInArrow(_links, "a long, b long")
-    roots = components(linked)
-    named = sets.select("uid", "doc_id", "n", "d1", "d2").join(classes, ["d1", "d2", "n"], "left")
-    own = F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.col("uid"))
-    return named.select("uid", "doc_id", "n", "d1", "d2", F.coalesce("rep", own).alias("rep")), roots
+    placed, tiles = _tiles(members)
+    roots = components(tiles.groupBy("root", "low", "high").applyInArrow(_links, "a long, b long"))
+    forget(placed)
+    return named, roots
 
 
 def with_least(named: DataFrame, roots: DataFrame) -> DataFrame:
@@ -322,37 +341,44 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 def one_of_each(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """The rows of ``docs`` without near duplicates: of each component the least doc_id stays.
 
-    All columns stay. Documents without words stay. Of rows that repeat a doc_id in one
-    component, one stays.
+    All columns stay, whatever their names. Documents without words stay. Of rows that repeat
+    a doc_id in one component, one stays.
     """
-    rows = settle(with_least(*jaccard_classes(docs, width)), "components")
-    counted = rows.groupBy("doc_id").agg(F.count("*").alias("rows"), F.max((F.col("uid") != F.col("first.uid")).cast("int")).alias("gone"))
-    often = settle(counted.where("rows > 1 or doc_id is null").select("doc_id"), "repeated")
-    gone = settle(counted.where("rows = 1 and gone = 1 and doc_id is not null").select(F.col("doc_id").alias("gone_id")), "gone")
+    names = docs.columns
+    taken = {c.lower() for c in names}
 
-    def sized(ids: DataFrame) -> DataFrame:
-        # Ids are broadcast up to a bound (8 bytes each); beyond it Spark shuffles both sides.
-        return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    def fresh(name: str) -> str:
+        while name in taken:
+            name += "_"
+        return name
 
-    once = docs.join(sized(gone), F.col("doc_id") == F.col("gone_id"), "left_anti")
+    gone_id, again_id, n_, d1_, d2_, k_ = map(fresh, ("gone_id", "again_id", "own_n", "own_d1", "own_d2", "own_place"))
+    rows = settle(with_least(*jaccard_classes(docs, width)), "components")
+    counted = rows.groupBy("doc_id").agg(F.count("*").alias("rows"), F.max((F.col("uid") != F.col("first.uid")).cast("int")).alias("gone"))
+    often = settle(counted.where("rows > 1 or doc_id is null").select(F.col("doc_id").alias(again_id)), "repeated")
+    gone = settle(counted.where("rows = 1 and gone = 1 and doc_id is not null").select(F.col("doc_id").alias(gone_id)), "gone")
+    # Ids are broadcast up to a bound; beyond it Spark shuffles both sides.
+    once = docs.join(sized(gone), F.col("doc_id") == F.col(gone_id), "left_anti")
     if often.isEmpty():
         return once
     # Rows that share a doc_id are told apart by their sets.
-    again = often.select(F.col("doc_id").alias("again_id"))
-    once = once.join(sized(again), F.col("doc_id").eqNullSafe(F.col("again_id")), "left_anti")
-    twice = docs.join(sized(again), F.col("doc_id").eqNullSafe(F.col("again_id")), "left_semi")
-    names = docs.columns
+    again = sized(often)
+    once = once.join(again, F.col("doc_id").eqNullSafe(F.col(again_id)), "left_anti")
+    twice = docs.join(again, F.col("doc_id").eqNullSafe(F.col(again_id)), "left_semi")
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             key, doc = shingle_sets(batch.column("text"), width)
             sums = digests(key, doc, len(batch))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.bincount(doc, minlength=len(batch)), pa.int64()), *map(pa.array, sums)], names=[*names, "__n", "__d1", "__d2"])
-
-    marked = twice.mapInArrow(digest, T.StructType([*docs.schema.fields, *(T.StructField(c, T.LongType()) for c in ("__n", "__d1", "__d2"))]))
-    stays = rows.where((F.col("uid") == F.col("first.uid")) & (F.col("n") > 0)).select(F.col("doc_id").alias("__id"), F.col("n").alias("__m"), F.col("d1").alias("__e1"), F.col("d2").alias("__e2"))
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__n") == F.col("__m")) & (F.col("__d1") == F.col("__e1")) & (F.col("__d2") == F.col("__e2"))
-    whole = marked.where("__n > 0").join(stays, same, "left_semi")
-    order = Window.partitionBy("doc_id", "__n", "__d1", "__d2").orderBy("text")
-    whole = whole.withColumn("__k", F.row_number().over(order)).where("__k = 1")
-    return once.unionByName(whole.select(*names)).unionByName(marked.where("__n = 0").select(*names))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.bincount(doc, minlength=len(batch)), pa.int64()), *map(pa.array, sums)], names=[*names, n_, d1_, d2_])
+
+    marked = twice.mapInArrow(digest, T.StructType([*docs.schema.fields, *(T.StructField(c, T.LongType()) for c in (n_, d1_, d2_))]))
+    stays = rows.where((F.col("uid") == F.col("first.uid")) & (F.col("n") > 0)).select(F.col("doc_id").alias(again_id), F.col("n").alias("m"), "d1", "d2")
+    stays = stays.select(again_id, *(F.col(c).alias(fresh("kept_" + c)) for c in ("m", "d1", "d2")))
+    same = F.col("doc_id").eqNullSafe(F.col(again_id))
+    for mine, kept in ((n_, "m"), (d1_, "d1"), (d2_, "d2")):
+        same &= F.col(mine) == F.col(fresh("kept_" + kept))
+    whole = marked.where(F.col(n_) > 0).join(stays, same, "left_semi")
+    order = Window.partitionBy("doc_id", n_, d1_, d2_).orderBy("text")
+    whole = whole.withColumn(k_, F.row_number().over(order)).where(F.col(k_) == 1)
+    return once.unionByName(whole.select(*names)).unionByName(marked.where(F.col(n_) == 0).select(*names))

@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 SUMS = 16
 #: Bytes of text in a chunk (a longer document is a chunk of its own).
 CHUNK_BYTES = 8 << 20
+#: Rows of a chunk at most, chunks of a task, and partitions: a chunk's number times CHUNK_ROWS plus a row is unique in 63 bits.
+CHUNK_ROWS, TASK_CHUNKS, PARTITIONS = 1 << 18, 1 << 20, 1 << 25
 _CODEC = pa.Codec("zstd", compression_level=1)
 
 
@@ -77,24 +79,30 @@ def give_back() -> None:
         trim(0)
 
 
-def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = CHUNK_BYTES) -> Iterator[tuple[int, pa.Table]]:
-    """Tables of about ``most`` bytes of ``column``, each with a number of its own."""
+def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = CHUNK_BYTES, rows: int = CHUNK_ROWS) -> Iterator[tuple[int, pa.Table]]:
+    """Tables of about ``most`` bytes of ``column`` and of ``rows`` rows at most, each with a number of its own."""
     give_back()
     context = TaskContext.get()
-    number = (context.partitionId() if context else 0) << 24
+    partition = context.partitionId() if context else 0
+    if partition >= PARTITIONS or rows > CHUNK_ROWS:
+        raise ValueError(f"partition {partition} or {rows} rows a chunk: their numbers would run into others")
+    first = number = partition * TASK_CHUNKS
     held: list[pa.RecordBatch] = []
-    size = 0
+    size = count = 0
     for batch in batches:
         lengths = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0))
         begin = 0
         for i, n in enumerate(lengths.tolist()):
-            if size and size + n > most:
+            if size and size + n > most or count == rows:
                 held.append(batch.slice(begin, i - begin))
                 yield number, pa.Table.from_batches(held)
-                number, held, size, begin = number + 1, [], 0, i
+                number, held, size, count, begin = number + 1, [], 0, 0, i
+                if number == first + TASK_CHUNKS:
+                    raise ValueError("a task has too many chunks for their numbers")
             size += n
+            count += 1
         held.append(batch.slice(begin))
-    if held and sum(map(len, held)):
+    if count:
         yield number, pa.Table.from_batches(held)
 
 
@@ -123,8 +131,12 @@ def hashes(strings: pa.Array) -> np.ndarray:
     return np.fromiter((xxhash.xxh3_64_intdigest(x) for x in strings.cast(pa.binary()).to_pylist()), np.uint64, len(strings))
 
 
-def buckets_for(n_bytes: int, each: int = 16 << 20, least: int = 96) -> int:
-    """A power of two: so many buckets that each gets about ``each`` bytes of text's keys."""
+def buckets_for(n_bytes: int, each: int = 32 << 20, least: int = 96) -> int:
+    """A power of two: so many buckets that each gets about ``each`` bytes of text's keys.
+
+    A chunk sends a row to each bucket that it has keys for, so the rows are at most chunks x
+    buckets, and never more than the chunks' keys.
+    """
     n = least
     while n * each < n_bytes:
         n *= 2
