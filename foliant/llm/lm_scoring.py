@@ -13,8 +13,7 @@
 4. All documents are scored with those weights and the counts of all training documents.
 
 Tokens: words ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased, then one end, which is also the
-context of the first word. Words are told apart by 64-bit hashes, bigrams by hashes whose
-length follows the corpus (``SPARE``).
+context of the first word. Words and bigrams are told apart by 64-bit hashes.
 
 Defined cases: a null or empty text is one end token; very long texts count whole; without
 training documents, or without held-out ones, the weights are equal; repeated rows give
@@ -40,19 +39,13 @@ FOLDS, TEST = 7, 2
 HELD = 6
 #: Buckets of context frequency, rounds of EM, steps of a binary order in its table.
 BUCKETS, ROUNDS, FINE = 24, 25, 8
-#: A bigram's hash has so many bits beyond log2 of the corpus's bytes / 4: about one bigram in 2^SPARE shares its count.
-SPARE = 18
 
 _CHUNK = pa.schema([("chunk", pa.int64()), ("kind", pa.int32()), ("ids", pa.list_(pa.int64())), ("test", pa.list_(pa.bool_())), ("first", pa.binary()), ("codes", pa.binary()), ("hashes", pa.binary())])
 _CHUNK_DDL = "chunk long, kind int, ids array<long>, test array<boolean>, first binary, codes binary, hashes binary"
 _TEST, _COUNTED, _HELD = 0, 1, 2
 
 
-def hash_bits(n_bytes: int) -> int:
-    return min(64, max(1, n_bytes // 4).bit_length() + SPARE)
-
-
-def _n_grams(first: np.ndarray, codes: np.ndarray, own: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _n_grams(first: np.ndarray, codes: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Tokens' keys in order (each document's words, then an end), the keys of bigrams that
     end at them, and every token's document."""
     lengths = np.diff(first)
@@ -67,15 +60,14 @@ def _n_grams(first: np.ndarray, codes: np.ndarray, own: np.ndarray, bits: int) -
     before[1:] = token[:-1]
     before[:1] = _END
     pair = mix(before * np.uint64(0x9E3779B97F4A7C15) + token)
-    low = np.uint64(64 - bits)
-    return token, pair >> low << low, np.repeat(np.arange(len(lengths)), lengths + 1)
+    return token, pair, np.repeat(np.arange(len(lengths)), lengths + 1)
 
 
 _END = np.uint64(0x5851F42D4C957F2D)
 
 
-def _read(row: dict, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return _n_grams(unpack(row["first"]).astype(np.int64), unpack(row["codes"]).astype(np.int64), unpack(row["hashes"]), bits)
+def _read(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return _n_grams(unpack(row["first"]).astype(np.int64), unpack(row["codes"]).astype(np.int64), unpack(row["hashes"]))
 
 
 def _tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,11 +85,11 @@ def _tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield row(number * 4 + kind, kind, part.filter(pa.array(kinds == kind)))
 
 
-def _parts(batches: Iterator[pa.RecordBatch], buckets: int, bits: int) -> Iterator[pa.RecordBatch]:
+def _parts(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
     """A chunk's distinct tokens and bigrams by bucket: keys, counts, and how many are tokens."""
     for batch in batches:
         for r in batch.to_pylist():
-            token, pair, _ = _read(r, bits)
+            token, pair, _ = _read(r)
             for order, keys in ((1, token), (2, pair)):
                 distinct, n = np.unique(keys, return_counts=True)
                 cuts = bucket_cuts(distinct, buckets)
@@ -143,9 +135,9 @@ def _sum(bucket: pa.Table) -> pa.Table:
     return pa.Table.from_pylist(out, _BACK)
 
 
-def _counts(row: dict, which: str, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _counts(row: dict, which: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """For every token of a chunk: its count, its context's, the bigram's, and its document."""
-    token, pair, doc = _read(row, bits)
+    token, pair, doc = _read(row)
     found = []
     for order, keys in ((1, token), (2, pair)):
         sums = [unpack(x[which]).astype(np.int64) for x in sorted((x for x in row["sums"] if x["part"] == order), key=lambda x: x["bucket"])]
@@ -198,9 +190,9 @@ def score(docs: DataFrame) -> DataFrame:
     kind = F.when(fold == TEST, _TEST).when(F.pmod(F.xxhash64(said), F.lit(HELD)) == 0, _HELD).otherwise(_COUNTED)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", kind.cast("int").alias("kind"))
     n_bytes = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    buckets, bits = buckets_for(n_bytes), hash_bits(n_bytes)
+    buckets = buckets_for(n_bytes)
     written = settle(docs.mapInArrow(_tokenise, _CHUNK_DDL), "chunks")
-    parts = written.mapInArrow(lambda batches: _parts(batches, buckets, bits), _PART_DDL)
+    parts = written.mapInArrow(lambda batches: _parts(batches, buckets), _PART_DDL)
     back = settle(parts.groupBy("bucket", "part").applyInArrow(_sum, _BACK_DDL), "sums")
 
     sized = written.where(F.col("kind") != _TEST).select("kind", F.size("ids").alias("d"), "first")
@@ -223,7 +215,7 @@ def score(docs: DataFrame) -> DataFrame:
         step = 1 << 14
         for batch in batches:
             for r in batch.to_pylist():
-                c, context, both, _ = _counts(r, "kept", bits)
+                c, context, both, _ = _counts(r, "kept")
                 p = _components(c, context, both, n_kept, v_kept)
                 with np.errstate(divide="ignore"):
                     s = [np.where(x > 0, np.minimum(np.rint(-np.log2(x) * FINE), step - 2), -1).astype(np.int64) + 1 for x in p[:2]]
@@ -236,7 +228,7 @@ def score(docs: DataFrame) -> DataFrame:
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                c, context, both, doc = _counts(r, "all", bits)
+                c, context, both, doc = _counts(r, "all")
                 mixed = (weight[frequency_bucket(context)].T * _components(c, context, both, n_all, v_all)).sum(0)
                 m = len(r["ids"])
                 base = np.log10((c + 1) / (n_all + 1.0 * (v_all + 1)))
