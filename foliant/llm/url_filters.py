@@ -4,7 +4,7 @@ Each URL expands into host-suffix and path-prefix expressions; expressions meet
 four-byte digest prefixes in an equi-join, full SHA-256 digests confirm, and the longest
 expression decides. The expansion runs once per distinct (host, path head), where the head is
 no longer than the longest rule path, so repeated URLs and hot hosts cost one row each; the
-verdicts then join back.
+verdicts, written once, then join back.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path and no rule; a
 URL that no rule fits gets ``DEFAULT``; of equally long expressions the longer host wins, then
@@ -17,12 +17,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliant.session import settle
+
 #: The verdict for a URL that no rule fits.
 DEFAULT = "allow"
 #: Hexadecimal digits of a digest in the first, approximate join: four bytes.
 SHORT = 8
 #: A rule table is broadcast up to so many rules (some 100 bytes each); beyond it Spark shuffles.
 BROADCAST_RULES = 50_000
+#: The same for distinct (host, path head) that fit a rule.
+BROADCAST_VERDICTS = 100_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _URL = r"^(?s:.*?)://([^/?#]*)([^?#]*)"
 
@@ -66,6 +70,9 @@ def judge(pages: DataFrame, rules: DataFrame) -> DataFrame:
     met = grown.join(F.broadcast(listed) if small else listed, "short").where((F.col("full") == F.col("digest")) & (F.col("expression") == F.col("rule")))
     order = F.struct((F.col("host_length") + F.col("path_length")).alias("n"), F.col("host_length").alias("h"))
     best = met.groupBy("host", "head").agg(F.max_by(F.struct("rule", "action"), order).alias("best"))
-    # A hot url is one row of `best`, and the join's large side can be split by AQE.
-    out = urls.join(best, ["host", "head"], "left")
+    # `best` is written first and is small where the urls that fit a rule are few; then it goes to the urls, and no
+    # host's urls meet in one task. Beyond the bound both sides are scans of a shuffle join, whose hot side AQE splits.
+    best = settle(best, "verdicts")
+    few = best.limit(BROADCAST_VERDICTS + 1).count() <= BROADCAST_VERDICTS
+    out = urls.join(F.broadcast(best) if few else best, ["host", "head"], "left")
     return out.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.action", F.lit(DEFAULT)).alias("verdict"))
