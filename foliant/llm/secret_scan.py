@@ -11,9 +11,8 @@ documents hold them outside values in a credential context (so that a secret doe
 itself a word). It goes to the tasks: ``MOST_WORDS`` words at most, the most frequent ones.
 
 Defined cases: a null or empty text has no spans; offsets count codepoints, ends exclusive;
-very long texts are scanned whole; values longer than ``LONGEST_VALUE`` are segmented in
-consecutive parts of that length whose costs add up; repeated rows give repeated rows; other
-columns are not read.
+very long texts are scanned and very long values segmented whole; repeated rows give repeated
+rows; other columns are not read; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -34,7 +33,6 @@ KINDS = ("assign", "access", "hex", "guess")
 LEAST_BITS = 40.0
 #: Least length of a value in a credential context.
 SHORTEST_VALUE = 8
-LONGEST_VALUE = 256
 #: Words of the documents in the dictionary at most, and their length.
 MOST_WORDS = 1 << 18
 SHORTEST_WORD, LONGEST_WORD = 4, 24
@@ -50,8 +48,8 @@ _CONTEXT_WORDS = ("pwd", "pass", "cred", "auth", "bearer", "login", "private", "
 _NAMES = r"""(?i:(?:password|passwd|secret|token|api[_ -]?key)[A-Za-z0-9_-]{0,64}|(?<![A-Za-z0-9])(?:pwd|pass|passphrase|passcode|credentials?|auth(?:orization)?|bearer|login|private[_ -]?key|access[_ -]?key|secret[_ -]?key)(?:[_-][A-Za-z0-9_-]{0,64}|[0-9]{0,9})(?![A-Za-z0-9_-]))"""
 _BEFORE = _NAMES + r"""["']?(?:\x20*[:=]\x20*|\x20+is\x20+)(?:[Bb]earer\x20+)?["']?"""
 _VALUE = r"""[^\s"'<>,;|]+"""
-# The value is looked at, not taken: a value may hold a name with a value of its own.
-CONTEXT = re.compile(f"{_BEFORE}(?=({_VALUE}))", re.ASCII)
+# What stands before a value; a value may hold a name with a value of its own, so it is not taken.
+CONTEXT, VALUE = re.compile(_BEFORE, re.ASCII), re.compile(_VALUE)
 
 # Common words of passwords, and rows of a keyboard.
 WORDS = """password pass admin user login welcome monkey dragon master letmein qwerty secret love princess
@@ -91,69 +89,86 @@ def ranks(docs: DataFrame) -> dict[str, int]:
     return out | {w: min(i, out.get(w, i)) for w, i in RANK.items()}
 
 
-def _spans(value: str, rank_of: dict[str, int] = RANK) -> list[tuple[int, int, float]]:
-    """Segments that cost less than brute force: (start, end, log2 guesses)."""
-    n, low, out = len(value), value.lower(), []
+def _pieces(value: str, rank_of: dict[str, int]) -> list[list[tuple[int, float]]]:
+    """Dictionary words and dates of ``value``: for every end (start, log2 guesses)."""
+    n, low = len(value), value.lower()
     plain = low.translate(_LEET)
+    ending: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
     for i in range(n):
         for j in range(i + 3, min(n, i + LONGEST_WORD) + 1):
             for text, more in ((low, 0.0), (plain, 1.5)):
                 if (rank := rank_of.get(text[i:j])) is not None:
                     upper = sum(c.isupper() for c in value[i:j])
                     case = 0.0 if not upper else 1.0 if upper == j - i or value[i].isupper() and upper == 1 else float(min(upper, j - i - upper) + 1)
-                    out.append((i, j, math.log2(rank) + more + case + 1))
+                    ending[j].append((i, math.log2(rank) + more + case))
                     break
-        if found := _DATE.match(value, i):
-            out.append((i, found.end(), math.log2(365 * 120) + (2 if found.end() - i > 8 else 0) if found.end() - i > 4 else math.log2(120)))
-    i = 0
-    while i < n - 2:  # maximal walks over near keys, and sequences of equal steps
-        j = i + 1
-        while j < n and (low[j - 1], low[j]) in _NEAR:
-            j += 1
-        if j - i >= 3:
-            out += [(i, k, math.log2(47) + 2.3 * math.log2(k - i)) for k in range(i + 3, j + 1)]
-        j, step = i + 1, ord(value[i + 1]) - ord(value[i])
-        while abs(step) <= 2 and j < n and ord(value[j]) - ord(value[j - 1]) == step:
-            j += 1
-        if j - i >= 3:
-            out += [(i, k, math.log2(26) + math.log2(k - i)) for k in range(i + 3, j + 1)]
-        i += 1
-    return out
-
+        if value[i].isdigit() and (found := _DATE.match(value, i)):
+            size = found.end() - i
+            ending[found.end()].append((i, math.log2(365 * 120) + (2 if size > 8 else 0) if size > 4 else math.log2(120)))
+    return ending
 
-def _repeats(value: str, cost: list[list[float]] | None, per_char: float) -> list[tuple[int, int, float]]:
-    """A unit followed by itself: the unit's brute-force cost and the count's."""
-    n, out = len(value), []
-    for size in range(1, n // 2 + 1):
-        run = 0
-        for i in range(size, n):
-            run = run + 1 if value[i] == value[i - size] else 0
-            if run and run % size == 0:
-                times = run // size + 1
-                if times >= (3 if size == 1 else 2):
-                    out.append((i + 1 - times * size, i + 1, min(size, 8) * per_char + max(0, size - 8) * per_char + math.log2(times)))
-    return out
 
+class _Run:
+    """Maximal runs of one kind, followed character by character.
 
-def guess_bits(value: str, rank_of: dict[str, int] = RANK) -> float:
-    """log2 of the guesses for the cheapest segmentation of ``value``.
+    Any part of a run of ``least`` characters or more can be a segment. It costs ``base`` and
+    ``factor`` bits for each doubling of the run so far, so that one number, the cheapest way
+    to a place from which a segment can have begun, is all that a run of any length keeps.
+    """
 
-    best[j] = min over segments (i, j) of best[i] + cost, where one brute-force span of any
-    length may end at j. Each further segment costs one bit more.
+    def __init__(self, least: int, base: float, factor: float, unit: int = 1):
+        self.least, self.base, self.factor, self.unit = least, base, factor, unit
+        self.begin, self.way = 0, math.inf
+
+    def step(self, j: int, goes_on: bool, best: list[float]) -> float:
+        """The cost of the cheapest segmentation of value[:j] that ends with a part of this run."""
+        if not goes_on:
+            self.begin, self.way = j - self.unit, math.inf
+        if j - self.begin < self.least:
+            return math.inf
+        self.way = min(self.way, best[j - self.least])
+        return self.way + self.base + self.factor * math.log2((j - self.begin) / self.unit)
+
+
+def guess_bits(value: str, rank_of: dict[str, int] = RANK, most: float = 1e4) -> float:
+    """log2 of the guesses for the cheapest segmentation of ``value``, or ``most`` if that is less.
+
+    best[j] is the least over the segments that end at j of the cost of what stands before,
+    that of the segment, and one bit; one brute-force span of any length may end there.
+    Segments are words, dates, parts of keyboard walks, of sequences of equal steps, and of
+    repeats of a unit (``unit * bits a character`` and the number of times). The value is read
+    to its end, or until no way through it costs less than ``most``; a unit of a repeat that
+    alone costs as much needs no run.
     """
-    if len(value) > LONGEST_VALUE:
-        return sum(guess_bits(value[i : i + LONGEST_VALUE], rank_of) for i in range(0, len(value), LONGEST_VALUE))
-    n, per_char = len(value), _alphabet(value)
-    ending: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
-    for i, j, bits in _spans(value, rank_of) + _repeats(value, None, per_char):
-        ending[j].append((i, bits))
-    best = [0.0] + [math.inf] * n
+    n, per_char, low = len(value), _alphabet(value), value.lower()
+    walk, steps = _Run(3, math.log2(47), 2.3), _Run(3, math.log2(26), 1.0)
+    units = [(size, _Run(3 if size == 1 else 2 * size, size * per_char, 1.0, size)) for size in range(1, min(n // 2, int(most / per_char)) + 1)]
+    best, back = [0.0], max([LONGEST_WORD, *(2 * size for size, _ in units)])
+    step = None
+    # Words and dates are looked up in stretches, so that a hopeless value is given up early.
+    stretch, ending, at = 1024, [], 0
     for j in range(1, n + 1):
+        if j > at + len(ending) - 1 - LONGEST_WORD and at + len(ending) - 1 < n or not ending:
+            at = max(0, j - LONGEST_WORD - 1)
+            ending = _pieces(value[at : at + stretch + 2 * LONGEST_WORD], rank_of)
         # Brute force adds by character, so extending by one is the same as any longer span.
-        best[j] = best[j - 1] + per_char
-        for i, bits in ending[j]:
-            best[j] = min(best[j], best[i] + bits + 1)
-    return best[n]
+        cost = best[-1] + per_char
+        for i, bits in ending[j - at]:
+            cost = min(cost, best[at + i] + bits + 1)
+        cost = min(cost, 1 + walk.step(j, j > 1 and (low[j - 2], low[j - 1]) in _NEAR, best))
+        now = ord(value[j - 1]) - ord(value[j - 2]) if j > 1 else None
+        if now is not None and now != step and abs(now) <= 2:
+            steps.begin, steps.way = j - 2, math.inf  # a sequence of another step takes in the character before
+            cost = min(cost, 1 + steps.step(j, True, best))
+        else:
+            cost = min(cost, 1 + steps.step(j, now is not None and now == step and abs(now) <= 2, best))
+        step = now
+        for size, run in units:
+            cost = min(cost, 1 + run.step(j, j > size and value[j - 1] == value[j - 1 - size], best))
+        best.append(cost)
+        if cost >= most and j > back and min(best[-back:]) >= most and min([walk.way, steps.way, *(run.way for _, run in units)]) >= most:
+            return most
+    return min(best[n], most)
 
 
 def find(text: str, rank_of: dict[str, int] = RANK) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
@@ -168,10 +183,17 @@ def find(text: str, rank_of: dict[str, int] = RANK) -> tuple[list[tuple[int, int
     base.sort()
     guessed = []
     if any(w in low for w in _CONTEXT_WORDS):
+        end = 0
         for m in CONTEXT.finditer(text):
-            value = m[1].rstrip(".!?)")
-            a, b = m.start(1), m.start(1) + len(value)
-            if b - a >= SHORTEST_VALUE and not any(x <= a and b <= y for x, _, y in base) and guess_bits(value, rank_of) >= LEAST_BITS:
+            a = m.end()
+            if a >= end:
+                found = VALUE.match(text, a)
+                if not found:
+                    continue
+                end = found.end()
+            value = text[a:end].rstrip(".!?)")
+            b = a + len(value)
+            if b - a >= SHORTEST_VALUE and not any(x <= a and b <= y for x, _, y in base) and guess_bits(value, rank_of, LEAST_BITS) >= LEAST_BITS:
                 guessed.append((a, 3, b))
     return base, sorted(set(guessed))
 

@@ -114,18 +114,48 @@ def test_secret_scan_base(spark, own):
 def test_guess_cost():
     assert secret_scan.guess_bits("password") < 10 < secret_scan.guess_bits("qwertyuiop") < 40 < secret_scan.guess_bits("tR7#kQ9!zLm2$vXw")
     assert secret_scan.guess_bits("aaaaaaaaaaaaaaaaaaaa") < 20 and secret_scan.guess_bits("19991231") < 25
-    # The dynamic programme is the least over all segmentations.
-    value = "pass1999qwe7"
-    spans = defaultdict(lambda: math.inf)
-    for i, j, bits in secret_scan._spans(value) + secret_scan._repeats(value, None, secret_scan._alphabet(value)):
-        spans[i, j] = min(spans[i, j], bits + 1)
 
-    def least(i):
-        if i == len(value):
-            return 0.0
-        return min([secret_scan._alphabet(value) + least(i + 1), *(spans[i, j] + least(j) for j in range(i + 1, len(value) + 1) if spans[i, j] < math.inf)])
 
-    assert secret_scan.guess_bits(value) == pytest.approx(least(0))
+def costs_of_segments(value, rank_of):
+    """Every segment's least cost, written anew: words, dates, and parts of maximal runs."""
+    low, found = value.lower(), defaultdict(lambda: math.inf)
+    for i, j, bits in [(i, j, b) for j, x in enumerate(secret_scan._pieces(value, rank_of)) for i, b in x]:
+        found[i, j] = min(found[i, j], bits + 1)
+
+    def parts(links, unit, least, base, factor):
+        for begin in range(len(value)):
+            for j in range(begin + least, len(value) + 1):
+                if not all(links(k) for k in range(begin + unit, j)):
+                    break
+                if begin == 0 or not links(begin + unit - 1):
+                    for i in range(begin, j - least + 1):
+                        found[i, j] = min(found[i, j], 1 + base + factor * math.log2((j - begin) / unit))
+
+    parts(lambda k: (low[k - 1], low[k]) in secret_scan._NEAR, 1, 3, math.log2(47), 2.3)
+    for d in range(-2, 3):
+        parts(lambda k: ord(value[k]) - ord(value[k - 1]) == d, 1, 3, math.log2(26), 1.0)
+    for size in range(1, len(value) // 2 + 1):
+        parts(lambda k: k >= size and value[k] == value[k - size], size, 3 if size == 1 else 2 * size, size * secret_scan._alphabet(value), 1.0)
+    return found
+
+
+@pytest.mark.parametrize("value", ["pass1999qwe7", "aaaabcdefgfedcba", "xyzxyzxyzpassw0rd", "qwerasdfzzzz1234", "Zx9$Zx9$Zx9$Z", "20240131monkey!!", "abab12ababab"])
+def test_guess_cost_is_the_least_over_all_segmentations(value):
+    spans = costs_of_segments(value, secret_scan.RANK)
+    least = [0.0]
+    for j in range(1, len(value) + 1):
+        least.append(min([least[-1] + secret_scan._alphabet(value), *(least[i] + spans[i, j] for i in range(j))]))
+    assert secret_scan.guess_bits(value) == pytest.approx(least[-1])
+    assert secret_scan.guess_bits(value, most=20.0) == pytest.approx(min(20.0, least[-1]))
+
+
+@pytest.mark.parametrize("n", [100, 255, 256, 257, 700, 2000, 100_000])
+def test_guess_cost_of_long_values(n):
+    """No length changes the verdict: a repeat stays cheap, a random value dear, and both are read in linear time."""
+    assert secret_scan.guess_bits("z" * n, most=40.0) < 40 and secret_scan.guess_bits("abc" * (n // 3), most=40.0) < 40
+    random = "".join(np.random.default_rng(n).choice(list("abcdefghijklmnop0123456789"), n))
+    assert secret_scan.guess_bits(random, most=40.0) == 40.0
+    assert secret_scan.find("login: " + "z" * n)[1] == [] and secret_scan.find("login: " + random)[1] == [(7, 3, 7 + n)]
 
 
 def test_redact_keeps_clean_text(spark):
@@ -203,6 +233,44 @@ def test_ngram_join_in_many_tiles(spark, monkeypatch):
     assert rows_of(got) == jaccard_brute(rows)
 
 
+def test_ngram_join_of_many_short_texts(spark):
+    """Chunks of few rows: the numbers of one chunk's rows never run into the next one's."""
+    long = [" ".join(f"{x}{i}" for i in range(60)) for x in ("p", "q")]
+    texts = ["a b"] * 40 + [long[0], None, "", long[1]] + ["c d"] * 30 + [long[0] + " end", long[1] + " end"] + [None] * 20
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    sets = ngram_join.document_sets(docs, rows=7).select("uid").collect()
+    assert len({r.uid for r in sets}) == len(texts)
+    assert rows_of(ngram_join.jaccard_components(docs)) == jaccard_brute(list(enumerate(texts)))
+
+
+def test_ngram_join_with_hot_classes_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BROADCAST_IDS", 1)
+    monkeypatch.setattr(ngram_join, "HOT_CLASS", 3)
+    docs = read(spark, "documents").select("doc_id", "text")
+    rows = [(100_000 + i, SHARED) for i in range(200)] + [(200_000 + i, "x y") for i in range(5)]
+    docs = docs.unionByName(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert rows_of(ngram_join.jaccard_components(docs)) == jaccard_brute([(r.doc_id, r.text) for r in docs.collect()])
+
+
+def test_chunks_are_bounded_by_rows_too():
+    import pyarrow as pa
+
+    from foliant.llm import packed
+
+    batch = pa.record_batch({"text": pa.array([None] * 600 + ["ab"] * 100)})
+    got = [(n, len(t)) for n, t in packed.chunks(iter([batch, batch]), most=100, rows=256)]
+    assert sum(m for _, m in got) == 1400 and max(m for _, m in got) == 256 and len({n for n, _ in got}) == len(got)
+    with pytest.raises(ValueError):
+        list(packed.chunks(iter([batch]), rows=packed.CHUNK_ROWS + 1))
+
+
+def test_one_of_each_with_clashing_columns(spark):
+    rows = [(1, SHARED, 0, 0, 0), (1, SHARED + " x", 0, 0, 0), (2, SHARED, 0, 0, 0), (None, "a", 0, 0, 0), (3, "q r s", 0, 0, 0), (3, None, 0, 0, 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, gone_id long, again_id long, own_n int")
+    kept = ngram_join.one_of_each(docs)
+    assert kept.columns == docs.columns and sorted((r.doc_id or 0, r.text or "") for r in kept.collect())[2:] == [(3, ""), (3, "q r s")] and kept.count() == 4
+
+
 def test_one_of_each(spark):
     docs = read(spark, "documents")
     component = {r.doc_id: r.component_id for r in ngram_join.jaccard_components(docs).collect()}
@@ -246,6 +314,42 @@ def test_lm_scoring(spark):
     assert held.score.sum() > held.base_score.sum()
 
 
+def test_lm_score_against_brute_force(spark):
+    """Deleted interpolation on plain dictionaries; only the steps of the EM table (1/8 of a binary order) may differ."""
+    random = np.random.default_rng(2)
+    texts = [" ".join(f"w{min(int(x), 60)}" for x in random.geometric(0.08, int(random.integers(1, 60)))) for _ in range(300)] + [None, "", "W1 w2"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    held = {r.doc_id for r in docs.where("pmod(xxhash64(cast(doc_id as string)), 6) = 0").collect()}
+    own = {d: [*tokens(t), "<end>"] for d, t in enumerate(texts)}
+    train = [d for d in own if crc32(str(d).encode()) % 7 != 2]
+
+    def model(ids):
+        one, two = Counter(), Counter()
+        for d in ids:
+            one.update(own[d])
+            two.update(zip(["<end>", *own[d]], own[d]))
+        return one, two, sum(one.values()), len(one)
+
+    def parts(m, v, w):
+        one, two, n, size = m
+        return min(int(math.log2(one[v] + 1)), 23), np.array([two[v, w] / max(1, one[v]), one[w] / max(1, n), 1 / (size + 1)])
+
+    kept = model([d for d in train if d not in held])
+    events = [parts(kept, v, w) for d in train if d in held for v, w in zip(["<end>", *own[d]], own[d])]
+    weight = np.full((24, 3), 1 / 3)
+    for _ in range(25):
+        total = np.zeros((24, 3))
+        for b, p in events:
+            total[b] += weight[b] * p / (weight[b] @ p)
+        weight = (total + 1) / (total.sum(1, keepdims=True) + 3)
+    whole = model(train)
+    want = {}
+    for d in own:
+        want[d] = sum(math.log10(weight[b] @ p) for b, p in (parts(whole, v, w) for v, w in zip(["<end>", *own[d]], own[d])))
+    got = {r.doc_id: r.score for r in lm_scoring.score(docs).collect()}
+    assert got.keys() == want.keys() and all(got[d] == pytest.approx(want[d], rel=0.01) for d in want)
+
+
 def test_lm_model_is_a_distribution():
     """The mixture of deleted interpolation sums to 1 over the known words and the unknown one."""
     events = __import__("pyarrow").table({"b": [1, 1, 3], "s2": [8, -1, 16], "s1": [40, 50, 60], "n": [10, 5, 7]})
