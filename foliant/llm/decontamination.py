@@ -1,25 +1,31 @@
-"""Benchmark decontamination by weighted containment of passages (operator 5).
+"""Benchmark decontamination by latent semantic retrieval (operator 5).
 
 1. The benchmark's words are the vocabulary; the document frequency of each is counted over
    all documents, a sum over partitions of the vocabulary's size. A word weighs by the share
    of documents that hold it; words outside the benchmark have no weight anywhere, so an
    item's verdict does not change as the corpus grows.
-2. An index leads from an item's rarest words to the item. The words left out of it weigh
-   less than what a confirmed pair must have in common, so every region that can be confirmed
-   meets the rest of that weight among the indexed ones (a prefix filter: it drops only pairs
-   that the confirmation would drop).
-3. Every window of every document is looked up with the words around it, against all items.
-4. A candidate is confirmed by the weighted longest common subsequence of the item and the
-   region around the window (paraphrases keep most rare words in order), or by a lower one
-   together with the answer check: the item's last sentence is found among the region's words.
-   ``cosine`` is that of the TF-IDF vectors of item and window, and decides nothing.
+2. The items' passages (windows of their words) become TF-IDF vectors. A randomised SVD finds
+   their latent space: a random block is multiplied by the transposed passages as a sum over
+   partitions and made orthogonal, and the Gram matrix of the passages in that basis, another
+   sum over partitions, gives the singular vectors. ``DIMENSIONS`` passages at most share a
+   space of as many dimensions, so the space holds each of them whole however large the
+   benchmark is.
+3. Every window of every document is compared with the items by cosine in these spaces. An
+   index leads from an item's rarest words to the item, so that only windows near enough of
+   its words are projected. The words left out of the index weigh less than what a confirmed
+   pair must have in common, so it drops only pairs that step 4 would drop.
+4. A candidate, of cosine ``COSINE`` at least, is confirmed by the weighted longest common
+   subsequence of the item and the region around the window (paraphrases keep most rare words
+   in order), or by a lower one together with the answer check: the item's last sentence is
+   found among the region's words.
 
 Defined cases: null and empty texts contain nothing; null or empty items are passed over; an
 empty benchmark contaminates nothing; very long texts are searched whole; repeated rows give
-repeated rows; equal items each give a row; other columns are not read.
+repeated rows; equal items each give a row; of equally good windows of a pair the one of
+highest cosine is told; other columns are not read; an empty table gives an empty one.
 
-The benchmark (its words, items and index) goes to the tasks. Its size is checked:
-beyond ``BLOCK_ITEMS`` items the work is done block by block.
+The benchmark (its words, items, spaces and index) goes to the tasks. Its size is checked:
+beyond ``BLOCK_ITEMS`` items the work is done block by block, one block at a time.
 """
 
 from __future__ import annotations
@@ -30,11 +36,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.llm.packed import chunks, partition_sum, words
-from foliant.session import ship
+from foliant.session import forget, settle, ship
 
 #: Words of a window and between windows; a span of WINDOW - STRIDE + 1 words stands whole in one.
 WINDOW, STRIDE = 32, 16
@@ -44,8 +50,12 @@ COMMON, COMMON_ANSWERED, ANSWERED = 0.6, 0.45, 0.8
 REST = 0.2
 #: Numbers that a step of the candidate search adds up at most (one stretch and its items at least).
 BATCH = 2 << 20
+#: Least cosine of a candidate.
+COSINE = 0.2
+#: Passages that share a latent space, and its dimensions at most.
+DIMENSIONS = 256
 #: Items of a block.
-BLOCK_ITEMS = 4096
+BLOCK_ITEMS = 1024
 
 
 class Items:
@@ -103,6 +113,67 @@ def document_frequencies(docs: DataFrame, items: Items) -> tuple[np.ndarray, int
     return sums[:size], int(sums[size])
 
 
+class Space:
+    """A latent space of some passages: ``code`` tells a word's row in the basis, the last one for other words."""
+
+    def __init__(self, code: np.ndarray, basis: np.ndarray, item: np.ndarray, passages: np.ndarray):
+        self.code, self.basis = code, basis.astype(np.float32)
+        self.item, self.passages = item, passages.astype(np.float32)
+
+    def project(self, columns: np.ndarray, idf: np.ndarray) -> np.ndarray:
+        """Unit latent vectors of windows, each a column of word numbers (-1 for other words)."""
+        out = np.zeros((columns.shape[1], self.basis.shape[1]), np.float32)
+        for w in columns:
+            out += idf[w, None].astype(np.float32) * self.basis[self.code[w]]
+        return out / np.maximum(1e-9, np.linalg.norm(out, axis=1, keepdims=True))
+
+
+def latent_spaces(spark: SparkSession, items: Items, idf: np.ndarray) -> list[Space]:
+    """Spaces of the items' passages, ``DIMENSIONS`` passages at most in each."""
+    first = np.concatenate([[0], np.cumsum([len(w) for w in items.words])]).astype(np.int64)
+    codes = np.concatenate(items.words)
+    begin, end, item = _windows(first)
+    # An item's passages stand together in one space, unless it alone has more than a space holds.
+    counts = np.bincount(item, minlength=len(items.words))
+    number, size, groups = -1, DIMENSIONS, []
+    for n in counts.tolist():
+        if size + min(n, DIMENSIONS) > DIMENSIONS:
+            number, size = number + 1, 0
+        groups += [number + k // DIMENSIONS for k in range(n)]
+        number, size = groups[-1], size + n if n <= DIMENSIONS else n % DIMENSIONS or DIMENSIONS
+    group, out = np.array(groups), []
+    for g in np.unique(group).tolist():
+        members = np.flatnonzero(group == g)
+        known = np.unique(np.concatenate([codes[begin[k] : end[k]] for k in members]))
+        code = np.full(len(idf) + 1, len(known))
+        code[known] = np.arange(len(known))
+        weight, v, m = idf[known], len(known), len(members)
+        rows = pa.table({"row": pa.array(np.arange(m)), "words": pa.array([code[codes[begin[k] : end[k]]] for k in members], pa.list_(pa.int64()))})
+        passages = spark.createDataFrame(rows).repartition(max(1, m // 64), "row")
+
+        def matrix(batch: pa.RecordBatch, weight: np.ndarray = weight) -> np.ndarray:
+            a = np.zeros((len(batch), len(weight)))
+            words = batch.column("words")
+            np.add.at(a, (np.repeat(np.arange(len(batch)), np.diff(words.offsets)), np.asarray(words.flatten())), weight[np.asarray(words.flatten())])
+            return a / np.maximum(1e-12, np.linalg.norm(a, axis=1, keepdims=True))
+
+        k = min(v, m)
+        mixer = np.random.default_rng(7).normal(size=(m, k))
+        sketch = partition_sum(passages, lambda b: (matrix(b).T @ mixer[np.asarray(b.column("row"))]).ravel(), v * k)
+        basis = np.linalg.qr(sketch.reshape(v, k))[0]
+
+        def gram(batch: pa.RecordBatch, basis: np.ndarray = basis) -> np.ndarray:
+            y = matrix(batch) @ basis
+            return (y.T @ y).ravel()
+
+        values, vectors = np.linalg.eigh(partition_sum(passages, gram, k * k).reshape(k, k))
+        basis = basis @ vectors[:, values > 1e-9 * max(values[-1], 1e-12)]
+        space = Space(code, np.vstack([basis, np.zeros((1, basis.shape[1]))]), item[members], np.zeros((0, 0)))
+        space.passages = space.project(padded([codes[begin[k] : end[k]] for k in members], -1), np.append(idf, 0.0))
+        out.append(space)
+    return out
+
+
 def bag_shares(own: np.ndarray, regions: np.ndarray, idf: np.ndarray) -> np.ndarray:
     """Weight of the items' words that their regions hold, in any order, as shares; a column of each is a pair (see ``padded``)."""
     there = np.zeros(own.shape[1])
@@ -178,17 +249,24 @@ class Index:
 class Searcher:
     """Finds items in batches of texts."""
 
-    def __init__(self, items: Items, idf: np.ndarray):
-        self.items, self.idf = items, idf
+    def __init__(self, items: Items, idf: np.ndarray, spaces: list[Space]):
+        self.items, self.idf, self.spaces = items, idf, spaces
         self.length = np.array([len(w) for w in items.words])
         most = np.array([max(STRIDE, 1 << (len(w) - 1).bit_length()) for w in items.words])
         self.indexes = [Index(items, idf, np.flatnonzero(most == m), int(m)) for m in np.unique(most)]
 
-    def cosine(self, item: np.ndarray, window: np.ndarray) -> float:
-        """Cosine of the TF-IDF vectors of an item and a window, of the benchmark's words."""
-        size = len(self.idf)
-        a, b = (np.bincount(x[x >= 0], minlength=size) * self.idf for x in (item, window))
-        return float(a @ b / max(1e-12, np.sqrt((a @ a) * (b @ b))))
+    def cosines(self, members: np.ndarray, columns: np.ndarray) -> np.ndarray:
+        """Cosine in the latent spaces of each item with its window (a column): that of its nearest passage."""
+        best = np.zeros(len(members))
+        idf = np.append(self.idf, 0.0)
+        for space in self.spaces:
+            pairs = np.flatnonzero(np.isin(members, space.item))
+            for i in range(0, len(pairs), 4096):
+                some = pairs[i : i + 4096]
+                near = space.project(columns[:, some], idf) @ space.passages.T
+                own = space.item[None, :] == members[some, None]
+                best[some] = np.maximum(best[some], np.where(own, near, 0.0).max(1))
+        return best
 
     def find(self, texts: pa.Array) -> list[tuple[int, int, float, float, float]]:
         """(text, item, cosine, common share, answer share) of each confirmed pair, by its best window."""
@@ -223,6 +301,11 @@ class Searcher:
         regions = padded([codes[a:b] for a, b in zip(low, high)], -1)
         # words in common, in any order, bound the subsequence from above
         able = np.flatnonzero(bag_shares(own, regions, idf) >= COMMON_ANSWERED - 1e-9)
+        # and the windows that remain must be near the item in its latent space
+        if not len(able):
+            return
+        cosine = self.cosines(members[able], padded([codes[a:b] for a, b in zip(begin[windows[able]], end[windows[able]])], -1))
+        able, cosine = able[cosine >= COSINE], cosine[cosine >= COSINE]
         if not len(able):
             return
         common = common_shares(own[:, able], regions[:, able], idf)
@@ -232,46 +315,66 @@ class Searcher:
             answered = float(self.idf[answer[np.isin(answer, region)]].sum() / max(1e-12, self.idf[answer].sum()))
             if common[i] >= COMMON or answered >= ANSWERED:
                 pair = int(doc[k]), item
-                found[pair] = max(found.get(pair, (0.0, 0.0, 0.0)), (float(common[i]), self.cosine(self.items.words[item], codes[begin[k] : end[k]]), answered))
+                found[pair] = max(found.get(pair, (0.0, 0.0, 0.0)), (float(common[i]), float(cosine[i]), answered))
 
 
-def searchers(docs: DataFrame, benchmark: DataFrame) -> list[Searcher]:
-    """A searcher per block of items, with statistics over all documents."""
-    ship(docs.sparkSession)
+def searchers(docs: DataFrame, benchmark: DataFrame) -> Iterator[Searcher]:
+    """A searcher for each block of items, one after the other, with statistics over all documents."""
+    spark = docs.sparkSession
+    ship(spark)
     clean = benchmark.where(F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text")
     blocks = max(1, -(-clean.count() // BLOCK_ITEMS))
-    out = []
     for block in range(blocks):
         items = Items([tuple(r) for r in clean.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).orderBy("item_id", "text").collect()])
         if items.ids:
             df, n = document_frequencies(docs, items)
             idf = np.log((n + 1.0) / (df + 1.0)) + 1e-3
-            out.append(Searcher(items, idf))
-    return out
+            yield Searcher(items, idf, latent_spaces(spark, items, idf))
+
+
+_FOUND = "doc_id long, item_id long, cosine double, common double, answered double"
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, cosine, common and answered of every document that holds an item."""
-    every = searchers(docs, benchmark)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, part in chunks(batches):
-            ids = part.column("doc_id").to_pylist()
-            for one in every:
+    def found(one: Searcher) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for _, part in chunks(batches):
+                ids = part.column("doc_id").to_pylist()
                 rows = [(ids[d], one.items.ids[i], c, s, a) for d, i, c, s, a in one.find(part.column("text"))]
                 columns = list(zip(*rows)) or [()] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, [pa.int64()] * 2 + [pa.float64()] * 3)], names=["doc_id", "item_id", "cosine", "common", "answered"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, item_id long, cosine double, common double, answered double")
+        return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _FOUND)
+
+    out = last = None
+    for one in searchers(docs, benchmark):
+        if last is not None:  # another block: the one before is done and written, and its searcher can go
+            done = settle(found(last), "found")
+            out = done if out is None else out.unionByName(done)
+        last = one
+    if last is None:
+        return docs.sparkSession.createDataFrame([], _FOUND)
+    return found(last) if out is None else out.unionByName(settle(found(last), "found"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that hold no item, all columns, judged where they stand."""
-    every = searchers(docs, benchmark)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, part in chunks(batches):
-            bad = {d for one in every for d, *_ in one.find(part.column("text"))}
-            yield from part.filter(pa.array([i not in bad for i in range(len(part))])).to_batches()
 
-    return docs.mapInArrow(run, docs.schema)
+    def clean(rows: DataFrame, one: Searcher) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for _, part in chunks(batches):
+                bad = {d for d, *_ in one.find(part.column("text"))}
+                yield from part.filter(pa.array([i not in bad for i in range(len(part))])).to_batches()
+
+        return rows.mapInArrow(run, rows.schema)
+
+    out, last = docs, None
+    for one in searchers(docs, benchmark):
+        if last is not None:
+            before, out = out, settle(clean(out, last), "clean")
+            if before is not docs:
+                forget(before)
+        last = one
+    return out if last is None else clean(out, last)

@@ -63,11 +63,11 @@ def test_decontamination_edges(spark):
 
 
 def test_decontamination_finds_every_copy_of_many_items(spark):
-    """A full block of items: each is found wherever it stands, as by trying every region against every item."""
+    """Items of several blocks: each is found wherever it stands, as by trying every region against every item."""
     docs = table(spark, MEDIUM, "documents").where("text is not null").orderBy("doc_id").limit(400).select("doc_id", "text")
     own = {r.doc_id: r.text.split() for r in docs.collect()}
     random, rows, ids = np.random.default_rng(11), [], [d for d, w in own.items() if len(w) >= 100]
-    for i in range(decontamination.BLOCK_ITEMS):
+    for i in range(4096):
         doc = ids[int(random.integers(len(ids)))]
         at = int(random.integers(len(own[doc]) - 38))
         rows.append((i, " ".join(own[doc][at : at + 38]), doc))
@@ -75,11 +75,12 @@ def test_decontamination_finds_every_copy_of_many_items(spark):
     found = {(r.doc_id, r.item_id) for r in decontamination.contaminated(docs, items).collect()}
     assert {(doc, i) for i, _, doc in rows} <= found
     # Brute force over all windows of some documents and all items.
-    (searcher,) = decontamination.searchers(docs, items)
+    blocks = list(decontamination.searchers(docs, items))
+    assert len(blocks) == 4096 // decontamination.BLOCK_ITEMS
     some = [d for d in ids if len(own[d]) < 400][:3]
-    for d in some:
+    want = {d: set() for d in some}
+    for d, searcher in [(d, b) for d in some for b in blocks]:
         codes, first = decontamination._numbered(searcher.items, pa.array([" ".join(own[d])]))
-        want = set()
         for begin, end, _ in zip(*decontamination._windows(first)):
             for k, item in enumerate(searcher.items.words):
                 region = codes[max(0, begin - len(item)) : end + len(item)]
@@ -94,20 +95,85 @@ def test_decontamination_finds_every_copy_of_many_items(spark):
                 answer = searcher.items.answers[k]
                 answered = searcher.idf[answer[np.isin(answer, region)]].sum() >= 0.8 * searcher.idf[answer].sum()
                 if best[-1] >= (0.45 if answered else 0.6) * weight:
-                    want.add((d, searcher.items.ids[k]))
-        assert {x for x in found if x[0] == d} == want
+                    want[d].add((d, searcher.items.ids[k]))
+    for d in some:
+        assert {x for x in found if x[0] == d} == want[d]
 
 
-def test_decontamination_verdict_does_not_follow_the_number_of_documents():
+def test_decontamination_verdict_does_not_follow_the_number_of_documents(spark):
     """A short item among words that the benchmark does not hold, with the same document shares in corpora of all sizes."""
     items = decontamination.Items([(1, "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron"), (2, "one two three")])
     share = np.full(len(items.vocabulary), 0.05)
     text = " ".join(f"x{i}" for i in range(40)) + " alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron " + " ".join(f"y{i}" for i in range(40)) + " one two three"
     for n in (10**3, 10**6, 10**9, 10**12):
-        searcher = decontamination.Searcher(items, np.log((n + 1) / (share * n + 1)) + 1e-3)
+        idf = np.log((n + 1) / (share * n + 1)) + 1e-3
+        searcher = decontamination.Searcher(items, idf, decontamination.latent_spaces(spark, items, idf))
         assert [(d, i, s) for d, i, _, s, _ in searcher.find(pa.array([text, "x y z"]))] == [(0, 0, 1.0), (0, 1, 1.0)]
 
 
+def test_latent_space_keeps_its_passages(spark):
+    """Cosines of passages in the space are those of their whole TF-IDF vectors, long items included."""
+    random = np.random.default_rng(4)
+    texts = [" ".join(f"v{x}" for x in random.integers(0, 300, n)) for n in (5, 20, 40, 700, 12_000, 33)]
+    items = decontamination.Items(list(enumerate(texts)))
+    idf = random.uniform(0.1, 3.0, len(items.vocabulary))
+    spaces = decontamination.latent_spaces(spark, items, idf)
+    assert len(spaces) > 2 and all(len(s.item) <= decontamination.DIMENSIONS for s in spaces)
+    first = np.concatenate([[0], np.cumsum([len(w) for w in items.words])]).astype(np.int64)
+    begin, end, item = decontamination._windows(first)
+    codes = np.concatenate(items.words)
+    for s in spaces:
+        members = [k for k in range(len(item)) if item[k] in s.item][:40]
+        whole = np.stack([np.bincount(codes[begin[k] : end[k]], minlength=len(idf)) * idf for k in members])
+        whole /= np.linalg.norm(whole, axis=1, keepdims=True)
+        if len(set(s.item)) == len({item[k] for k in members}) and len(members) == len(s.item):
+            assert np.allclose(s.passages @ s.passages.T, whole @ whole.T, atol=1e-4)
+
+
+def test_decontamination_recall_on_paraphrases(spark):
+    """Words lost, replaced, and clauses in another order: the latent search loses none of what trying everything confirms."""
+    random = np.random.default_rng(8)
+    docs = table(spark, MEDIUM, "documents").select("doc_id", "text")
+    items = table(spark, MEDIUM, "benchmark")
+    clean = [r.text.split() for r in docs.where("length(text) between 600 and 4000").orderBy("doc_id").limit(40).collect()]
+    rows = []
+    for k, r in enumerate(items.orderBy("item_id").collect()):
+        words, base = r.text.split(), clean[k % len(clean)]
+        for kind in range(6):
+            own = list(words)
+            if kind in (1, 3, 5):
+                own = [w if random.random() > (0.12, 0.25, 0.3)[kind // 2] else base[int(random.integers(len(base)))] for w in own]
+            if kind in (2, 3):
+                cut = len(own) // 3
+                own = own[cut:] + own[:cut]
+            if kind in (4, 5):
+                own = [w for w in own if random.random() > 0.25]
+            rows.append((1_000_000 + 10 * k + kind, " ".join([*base[:60], *own, *base[60:120]])))
+    both = docs.unionByName(spark.createDataFrame(rows, "doc_id long, text string"))
+    found = {(r.doc_id, r.item_id) for r in decontamination.contaminated(both, items).collect()}
+    (searcher,) = decontamination.searchers(both, items)
+    want = set()
+    for d, text in rows:
+        codes, first = decontamination._numbered(searcher.items, pa.array([text]))
+        for k, item in enumerate(searcher.items.words):
+            weight = searcher.idf[item].sum()
+            begin, end, _ = decontamination._windows(first)
+            regions = [codes[max(0, a - len(item)) : b + len(item)] for a, b in zip(begin, end)]
+            own = decontamination.padded([item] * len(regions), len(searcher.idf))
+            idf = np.append(searcher.idf, 0.0)
+            padded = decontamination.padded(regions, -1)
+            common = decontamination.common_shares(own, padded, idf)
+            answer = searcher.items.answers[k]
+            for region, c in zip(regions, common):
+                answered = searcher.idf[answer[np.isin(answer, region)]].sum() >= 0.8 * searcher.idf[answer].sum()
+                if weight and c >= (0.45 if answered else 0.6):
+                    want.add((d, searcher.items.ids[k]))
+    planted = {x for x in found if x[0] >= 1_000_000}
+    print("paraphrases confirmed by trying everything:", len(want), "found:", len(planted))
+    assert planted <= want and len(planted) >= 0.99 * len(want)
+    assert len({(d, i) for d, i in planted if d % 10 in (0, 1, 4)}) >= 0.9 * 3 * items.count()
+
+
 @pytest.fixture(scope="module")
 def staged(spark):
     docs, out = table(spark, SMALL, "documents"), []
