@@ -383,6 +383,66 @@ def test_html_extraction(spark):
     assert html_extract.extract(pages.limit(0)).collect() == []
 
 
+CLEAN = html_extract.weights(*map(Counter, ({"word": 900, "p": 50, "/p": 50, ".lead": 40}, {"word": 60, "div": 9, ".teaser": 30})))
+
+
+def test_html_scan_is_the_best_region_over_all():
+    """The linear scan against all regions: on every page of the small table and on random scores."""
+    random = np.random.default_rng(1)
+    rows = [list(random.integers(-3, 4, int(random.integers(1, 40))).astype(float)) for _ in range(200)] + [[], [-1.0], [0.0, 2.0, 0.0]]
+    pages = database(SMALL).execute("SELECT html FROM pages").fetchall()
+    rows += [html_extract.scored(html_extract.parse(h[:6000]), CLEAN)[0][:150] for (h,) in pages[:60] if h]
+    for scores in rows:
+        a, b = html_extract.best_region(scores)
+        sums = {(i, j): sum(scores[i : j + 1]) for i in range(len(scores)) for j in range(i, len(scores))}
+        best = max(sums.values(), default=0.0)
+        if best <= 1e-9:
+            assert (a, b) == (0, -1)
+        else:
+            assert sums[a, b] == pytest.approx(best)
+
+
+def test_html_weights_decide():
+    """Other weights give another text: a learned name, the mark's words, and a kind of tag."""
+    page = '<body><div class="teaser"><p>Teaser words here</p></div><p class="lead">The lead of it all</p><p>More of the article</p><p></p></body>'
+    assert html_extract.main_text(page, CLEAN) == "The lead of it all\n\nMore of the article"
+    assert html_extract.main_text(page, CLEAN | {".teaser": 0.0}).startswith("Teaser words here")
+    marked = "<body><p>Outside, more words than inside of it</p><article><p>Inside</p></article></body>"
+    assert html_extract.main_text(marked, CLEAN) == "Inside"
+    assert html_extract.main_text(marked, CLEAN | {"word in": -2.0, "word off": 2.0}) == "Outside, more words than inside of it"
+    split = "<body><p>One two three four</p><hr><p>Five six seven</p></body>"
+    assert html_extract.main_text(split, CLEAN) == "One two three four\n\nFive six seven"
+    assert html_extract.main_text(split, CLEAN | {"hr": -100.0}) == "One two three four"
+
+
+def test_html_pages_without_marks(spark):
+    """Every page with its <article> tags taken away keeps its text; weights come from pages that have them."""
+    pages = read(spark, "pages")
+    weight = html_extract.learn(pages)
+    own, bare = 0, 0
+    for r in pages.collect():
+        text = html_extract.main_text(r.html, weight)
+        without = html_extract.main_text(re.sub(r"(?i)</?(?:article|main)\b[^>]*>", "", r.html), weight)
+        a, b = Counter(text.split()), Counter(without.split())
+        own, bare = own + sum((a | b).values()), bare + sum((a & b).values())
+    assert bare >= 0.95 * own > 0
+
+
+def test_html_keeps_what_stands_in_the_article():
+    page = """<main><article class="post"><header><h1>Title</h1></header><p>Sum <math><mi>x</mi><mo>+</mo><mn>1</mn></math> and <svg><text>label</text></svg></p>
+    <div class="search related share widget">Search results are discussed</div><aside>Aside</aside><div class="ad">Buy</div><ul><li>one</li></ul><form>Mail <input></form>
+    <section id="comments"><p>Nice</p></section><p>End <span class="ad">now <span>cheap</span> or</span> of it</p></article></main><footer>Foot</footer>"""
+    assert html_extract.main_text(page, html_extract.PRIOR) == "Title\n\nSum x+1 and label\n\nSearch results are discussed\n\none\n\nEnd of it"
+
+
+def test_html_edges(spark):
+    long = "<article>" + "<p>some words &amp; more</p>" * 40_000 + "</article>"
+    rows = [(1, "u", long, "clash", 3), (1, "u", long, "clash", 3), (None, None, None, None, None), (2, "u", "<div>a<article>b<div>c</article>d", "x", 1)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int")
+    got = sorted(((r.page_id or 0, r.text) for r in html_extract.extract(pages).collect()))
+    assert got[0] == (0, "") and got[1][1] == got[2][1] == "\n\n".join(["some words & more"] * 40_000) and got[3] == (2, "b\n\nc")
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string, extra int")
     path = public_tokenizers.path
