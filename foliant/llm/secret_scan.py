@@ -8,7 +8,7 @@ brute-force spans, by dynamic programming over the value. Values that cost at le
 
 The dictionary is fixed words of passwords and the words of all documents, ranked by how many
 documents hold them outside values in a credential context (so that a secret does not make
-itself a word). It goes to the tasks: ``MOST_WORDS`` words at most, the most frequent ones.
+itself a word). It goes to the tasks: ``MOST_WORDS`` words at most, those of the highest frequencies.
 
 Defined cases: a null or empty text has no spans; offsets count codepoints, ends exclusive;
 very long texts are scanned and very long values segmented whole; repeated rows give repeated
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.session import ship
+from foliant.session import forget, settle, ship
 
 KINDS = ("assign", "access", "hex", "guess")
 #: log2 of the guesses from which a value counts as a secret.
@@ -81,11 +81,29 @@ def _alphabet(value: str) -> float:
 
 
 def ranks(docs: DataFrame) -> dict[str, int]:
-    """The dictionary: fixed words, and the documents' words by descending document frequency (2 at least)."""
-    prose = F.regexp_replace("text", _BEFORE + _VALUE, " ")
+    """The dictionary: fixed words, and the documents' words by descending document frequency (2 at least).
+
+    Frequencies are counted over all documents and written; a histogram by their binary
+    logarithm tells from which one on there are ``MOST_WORDS`` words at most, and only those
+    reach the driver.
+    """
+    names = F.lower("text")
+    able = F.lit(False)
+    for word in _CONTEXT_WORDS:
+        able = able | F.contains(names, F.lit(word))
+    prose = F.when(able, F.regexp_replace("text", _BEFORE + _VALUE, " ")).otherwise(F.col("text"))
     words = docs.where(F.col("text").isNotNull()).select(F.explode(F.array_distinct(F.split(F.lower(prose), r"[^\p{L}]+"))).alias("word"))
-    words = words.where(F.length("word").between(SHORTEST_WORD, LONGEST_WORD)).groupBy("word").count().where("count > 1")
-    out = {r.word: i for i, r in enumerate(words.orderBy(F.desc("count"), "word").limit(MOST_WORDS).collect(), 1)}
+    counted = words.where(F.length("word").between(SHORTEST_WORD, LONGEST_WORD)).groupBy("word").agg(F.count("*").alias("n")).where("n > 1")
+    counted = settle(counted.withColumn("step", F.floor(F.log2("n") * 64).cast("long")), "words")
+    least, kept = 0, 0
+    for r in sorted(counted.groupBy("step").agg(F.count("*").alias("words")).collect(), key=lambda r: -r.step):
+        kept += r.words
+        if kept > MOST_WORDS:
+            least = r.step + 1
+            break
+    frequent = counted.where(F.col("step") >= least).orderBy(F.desc("n"), "word").select("word").collect()
+    out = {r.word: i for i, r in enumerate(frequent, 1)}
+    forget(counted)
     return out | {w: min(i, out.get(w, i)) for w, i in RANK.items()}
 
 
