@@ -94,6 +94,8 @@ def _kinds() -> np.ndarray:
 
 _KINDS = _kinds()
 DIMENSIONS = 23
+#: Ids of labelled documents that are broadcast, at most (8 bytes each).
+BROADCAST_IDS = 500_000
 
 
 def fourier(x: np.ndarray, centre: np.ndarray, scale: np.ndarray, features: int = FEATURES) -> np.ndarray:
@@ -216,7 +218,11 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Without any label to learn from nothing is known against a row, and all stay.
     """
     ship(docs.sparkSession)
-    model = fit(featurise(docs), labels)
+    # Only labelled documents teach: where their ids are few enough to be broadcast, no others need statistics here.
+    ids = labels.where("quality in (0, 1)").select(F.col("doc_id").cast("long").alias("labelled")).distinct()
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    taught = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("labelled"), "left_semi") if few else docs
+    model = fit(featurise(taught), labels)
     if not model.learned:
         return docs
 
