@@ -81,14 +81,28 @@ def stem(word: Column) -> Column:
     return F.when((F.length(word) > 5) & F.substr(word, F.length(word)).isin("a", "e", "i", "o"), F.substr(word, F.lit(1), F.length(word) - 1)).otherwise(word)
 
 
+# Articles, and the marks that may stand around a phrase.
+ARTICLES = "il lo la i gli le un uno una".split()
+ELIDED = ("l'",)
+MARKS = ' .!?;:«»"'
+
+
+def stripped(text: Column, marks: str = MARKS) -> Column:
+    """Single spaces, without ``marks`` at both ends."""
+    return F.trim(F.trim(F.regexp_replace(text, r"(?U)\s+", " "), F.lit(marks)))
+
+
 def bare(text: Column) -> Column:
-    """A noun phrase without marks around it and without its article."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"\s+", " "), r'^[ .!?;:«»"]+|[ .!?;:«»"]+$', ""), r"(?i)^(?:(?:il|lo|la|i|gli|le|un|uno|una)\s+|l')", ""))
+    """A noun phrase without marks around it and without its article (a whole word, or an elided one)."""
+    article = "|".join([*(a + " +" for a in ARTICLES), *ELIDED])
+    return F.trim(F.regexp_replace(stripped(text), f"(?i)^(?:{article})", ""))
 
 
 def entity(text: Column) -> Column:
-    """The key of a named thing: bare, folded; "repubblica Xiana" is "xia"."""
-    return F.regexp_replace(F.regexp_replace(folded(bare(text)), r"\s*'\s*", "'"), r"^repubblica ([a-zà-ÿ]+)iana$", "$1ia")
+    """The key of a named thing: bare, folded, apostrophes closed up; a republic named by its adjective in -iana is the land in -ia."""
+    key = F.regexp_replace(folded(bare(text)), " *' *", "'")
+    land = F.regexp_extract(key, "^repubblica ([a-zà-ÿ]+)iana$", 1)
+    return F.when(land != "", F.concat(land, F.lit("ia"))).otherwise(key)
 
 
 def slug(text: Column) -> Column:

@@ -20,11 +20,12 @@ def evidence_id(library: Column, article: Column, section: Column, ordinal: Colu
     return F.concat(F.lit("22E-"), F.upper(F.substring(F.sha2(joined, 256), 1, 32)))
 
 
-def evidence(documents: DataFrame) -> DataFrame:
-    """One row per line: evidence_id, article_id, library_id, ordinal (from 1), text. A map over rows, no shuffle."""
-    lines = articles(documents).select("article_id", "library_id", F.posexplode(F.split("text", "\n")).alias("place", "text"))
+def evidence(documents: DataFrame, titled: bool = False) -> DataFrame:
+    """One row per line: evidence_id, article_id, library_id, ordinal (from 1), text, and the article's title if asked for. A map over rows, no shuffle."""
+    own = ["title"] if titled else []
+    lines = articles(documents).select("article_id", "library_id", *own, F.posexplode(F.split("text", "\n")).alias("place", "text"))
     ordinal = (F.col("place") + 1).cast("long")
-    return lines.select(evidence_id(F.col("library_id"), F.col("article_id"), F.lit("S00001"), ordinal).alias("evidence_id"), "article_id", "library_id", ordinal.alias("ordinal"), "text")
+    return lines.select(evidence_id(F.col("library_id"), F.col("article_id"), F.lit("S00001"), ordinal).alias("evidence_id"), "article_id", "library_id", ordinal.alias("ordinal"), *own, "text")
 
 
 def chunk_lines(text: Column, size: int) -> Column:
@@ -57,20 +58,24 @@ def sections(text: Column) -> Column:
     return F.transform(parts, one)
 
 
-#: Rules for wiki markup, in the order in which they apply.
+#: Rules for wiki markup, in the order in which they apply: what notes say stays, links give their labels, tables their cells.
 MARKUP = (
-    (r"(?s)<!--.*?-->", ""),
-    (r"(?is)<ref[^>/]*/>|<ref[^>]*>.*?</ref>", ""),
-    (r"(?i)\[\[(?:file|image|immagine|category|categoria):[^\]]*\]\]", ""),
-    (r"\[\[[^\]|]*\|([^\]]*)\]\]", "$1"),
-    (r"\[\[([^\]]*)\]\]", "$1"),
-    (r"\[https?://[^ \]]+ ([^\]]*)\]", "$1"),
+    (r"(?s)<!--.*?-->", " "),
+    (r"(?is)<ref\b[^>]*>(.*?)</ref>", " $1 "),
+    (r"(?i)<ref\b[^>]*/>", " "),
+    (r"(?is)\[\[(?:file|image|immagine|categoria|category):.*?\]\]", " "),
+    (r"\[\[[^\]|]+\|([^\]]+)\]\]", "$1"),
+    (r"\[\[([^\]]+)\]\]", "$1"),
+    (r"\[https?://[^\s\]]+\s+([^\]]+)\]", "$1"),
+    (r"\[https?://[^\]]+\]", " "),
     (r"\{\{|\}\}|\{\||\|\}", " "),
-    (r"'{2,}", ""),
-    (r"(?m)^\|-?", " "),
+    (r"\|-", "\n"),
+    (r"\|\||!!", " ; "),
+    (r"'''|''", ""),
+    (r"(?m)^\s*[|!]\s*", ""),
     (r"<[^>]+>", " "),
     (r"[ \t]+", " "),
-    (r"\n\s*\n+", "\n"),
+    (r" ?\n\s*", "\n"),
 )
 
 

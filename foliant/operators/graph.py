@@ -22,7 +22,7 @@ def graph(observations: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def closure(edges: DataFrame, hops: int = 4) -> DataFrame:
-    """(a, b, hops): pairs reached over at most ``hops`` edges, with the least number.
+    """(a, b, hops): pairs reached over at most ``hops`` edges (the limit of a declared transitive relation), with the least number.
 
     A union of self-joins of fixed depth; each step's frontier is made distinct.
     """
@@ -34,15 +34,63 @@ def closure(edges: DataFrame, hops: int = 4) -> DataFrame:
     return reduce(DataFrame.unionByName, found).groupBy("a", "b").agg(F.min("hops").alias("hops"))
 
 
-def conflicts(propositions: DataFrame, functional: list[str]) -> DataFrame:
-    """(predicate, subject): asserted with both polarities, or a functional predicate with several objects."""
-    # One aggregation by key, no self-join: a hot key is summed before the shuffle.
-    grouped = propositions.groupBy("predicate", "subject").agg(
-        F.count_distinct("object").alias("objects"), F.count_if(F.col("polarity") == "negative").alias("no"), F.count_if(F.col("polarity") == "positive").alias("yes")
-    )
-    both = (F.col("no") > 0) & (F.col("yes") > 0)
-    many = F.col("predicate").isin(functional) & (F.col("objects") > 1) & (F.col("yes") > 1)
-    return grouped.where(both | many).select("predicate", "subject", F.when(both, "POLARITY").otherwise("OBJECTS").alias("kind"))
+def least_reachable(links: DataFrame) -> DataFrame:
+    """(node, least): the least node that each node reaches over undirected links (a, b), however long the way.
+
+    In each round a node takes the least label among its neighbours and itself, and then the
+    label of its label, so long chains shrink by half; the rounds end when no label changes.
+    Neither links nor nodes are gathered; minima are partial before the shuffle.
+    """
+    from foliant.session import forget, settle
+
+    links = links.where("a <> b").select("a", "b")
+    both = settle(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
+    label = settle(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("least")), "labels")
+    while True:
+        around = both.join(label.select(F.col("node").alias("b"), "least"), "b").groupBy(F.col("a").alias("node")).agg(F.min("least").alias("near"))
+        nearer = label.join(around, "node").select("node", F.least("least", "near").alias("via"), "least")
+        jumped = nearer.join(label.select(F.col("node").alias("via"), F.col("least").alias("further")), "via").select("node", F.least("via", "further").alias("least"), (F.least("via", "further") != F.col("least")).alias("moved"))
+        new = settle(jumped, "labels")
+        forget(label)
+        label = new.select("node", "least")
+        label._settled = new._settled
+        if new.where("moved").isEmpty():
+            return label
+
+
+def synonyms(observed: DataFrame, least_evidences: int = 2) -> DataFrame:
+    """(term, canonical) of (term_a, term_b, evidence): terms linked by so many distinct evidences share their least term."""
+    pair = observed.select(F.least("term_a", "term_b").alias("a"), F.greatest("term_a", "term_b").alias("b"), "evidence").distinct()
+    linked = pair.groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= least_evidences)
+    terms = observed.select(F.col("term_a").alias("term")).unionByName(observed.select(F.col("term_b").alias("term"))).distinct()
+    return terms.join(least_reachable(linked), F.col("term") == F.col("node"), "left").select("term", F.coalesce("least", "term").alias("canonical"))
+
+
+#: What two propositions must share to contradict each other.
+SCOPE = ("predicate", "subject", "modifiers", "category", "years", "tense", "location")
+FUNCTIONAL = ("capital_of", "president_of")
+
+
+def conflicts(propositions: DataFrame) -> DataFrame:
+    """The propositions that contradict another one of equal scope, with ``kind``.
+
+    POLARITY: the same object is asserted and denied. OBJECTS: a predicate that has one object
+    at a time (capital, president, property) is asserted with several. Rows of a scope are
+    counted, never compared pairwise; nulls of a scope are equal.
+    """
+    functional = F.col("predicate").isin(*FUNCTIONAL) | F.col("predicate").startswith("property_of:")
+    yes, no = F.count_if(F.col("polarity") == "positive"), F.count_if(F.col("polarity") == "negative")
+    per = propositions.groupBy(*SCOPE, "object").agg(yes.alias("yes"), no.alias("no"))
+    denied = per.where("yes > 0 and no > 0").select(*SCOPE, "object")
+    several = per.where(functional & (F.col("yes") > 0)).groupBy(*SCOPE).agg(F.count("*").alias("n")).where("n > 1").select(*SCOPE)
+
+    def met(small: DataFrame, columns: tuple[str, ...]):
+        return reduce(lambda a, b: a & b, [F.col(f"p.{c}").eqNullSafe(F.col(f"s.{c}")) for c in columns])
+
+    p = propositions.alias("p")
+    both = p.join(denied.alias("s"), met(denied, (*SCOPE, "object")), "left_semi").withColumn("kind", F.lit("POLARITY"))
+    many = p.where("polarity = 'positive'").join(several.alias("s"), met(several, SCOPE), "left_semi").withColumn("kind", F.lit("OBJECTS"))
+    return both.unionByName(many)
 
 
 def deduce(born: DataFrame, located: DataFrame, cities: DataFrame, countries: DataFrame, denied: DataFrame) -> DataFrame:

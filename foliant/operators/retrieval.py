@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from foliant.functions import text as T
+from foliant.session import ship
 
 
 def overlap(queries: DataFrame, postings: DataFrame) -> DataFrame:
@@ -17,6 +24,111 @@ def overlap(queries: DataFrame, postings: DataFrame) -> DataFrame:
     return postings.join(asked, "term").groupBy("query_id", "evidence_id").agg(F.count("*").alias("score"))
 
 
+#: Distinct terms of the queries that go to the tasks, at most; beyond it terms meet postings in a join.
+BROADCAST_TERMS = 500_000
+
+
+def _asked_terms(queries: DataFrame):
+    """The queries' ids, their vocabulary, and for every word of it the numbers of its queries (first, queries); None if there are too many."""
+    rows = queries.select("query_id", F.explode(F.array_distinct(T.terms(F.col("text")))).alias("term"))
+    found = rows.limit(BROADCAST_TERMS + 1).toArrow()
+    if len(found) > BROADCAST_TERMS:
+        return None
+    ids, query = np.unique(found["query_id"].to_numpy(), return_inverse=True)
+    coded = found["term"].combine_chunks().dictionary_encode()
+    word = np.asarray(coded.indices)
+    order = np.argsort(word, kind="stable")
+    return ids, coded.dictionary, np.searchsorted(word[order], np.arange(len(coded.dictionary) + 1)), query[order]
+
+
+def _pairs(terms: pa.ListArray, asked) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, query, score) of every row of distinct terms that shares some with a query."""
+    ids, vocabulary, first, queries = asked
+    found = np.asarray(pc.fill_null(pc.index_in(terms.flatten(), vocabulary), -1))
+    row = np.repeat(np.arange(len(terms)), np.asarray(pc.fill_null(pc.list_value_length(terms), 0)))
+    row, found = row[found >= 0], found[found >= 0]
+    n = first[found + 1] - first[found]
+    at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[found], n)
+    score = np.bincount(np.repeat(row, n) * len(ids) + queries[at], minlength=0)
+    pair = np.flatnonzero(score)
+    return pair // max(1, len(ids)), pair % max(1, len(ids)), score[pair]
+
+
+def top_overlap(queries: DataFrame, evidence: DataFrame, k: int, by: str | None = None) -> DataFrame:
+    """query_id, score and ``evidence``'s columns but its text's terms: each query's k best rows (of each ``by``), ties by evidence_id.
+
+    An evidence row holds all its terms, so it is scored where it stands against the queries'
+    terms; every task keeps its k best rows of a query, and only those are shuffled. Beyond
+    ``BROADCAST_TERMS`` terms of the queries a join with postings takes its place.
+    """
+    groups = ["query_id", *([by] if by else [])]
+    order = Window.partitionBy(*groups).orderBy(F.desc("score"), "evidence_id")
+
+    def cut(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+    asked = _asked_terms(queries)
+    if asked is None:
+        from foliant.operators.corpus import postings
+
+        return cut(overlap(queries, postings(evidence)).join(evidence, "evidence_id"))
+    ids, columns = asked[0], evidence.columns
+
+    def best(held: pa.Table) -> pa.Table:
+        keys = [held[c].combine_chunks().dictionary_encode().indices.to_numpy() for c in groups]
+        names = held["evidence_id"].combine_chunks()
+        place = np.empty(len(held), np.int64)
+        place[np.asarray(pc.sort_indices(names))] = np.arange(len(held))
+        rows = np.lexsort((place, -held["score"].to_numpy(), *keys[::-1]))
+        fresh = np.append(True, np.any([x[rows][1:] != x[rows][:-1] for x in keys], axis=0)) if len(rows) else np.zeros(0, bool)
+        begin = np.maximum.accumulate(np.where(fresh, np.arange(len(rows)), 0)) if len(rows) else rows
+        return held.take(pa.array(rows[np.arange(len(rows)) - begin < k]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            row, query, score = _pairs(batch.column("_terms"), asked)
+            small = pa.table({"query_id": pa.array(ids[query]), "score": pa.array(score.astype(np.int64)), "_row": pa.array(row), "evidence_id": batch.column("evidence_id").take(pa.array(row)), **({by: batch.column(by).take(pa.array(row))} if by else {})})
+            small = best(small)
+            own = pa.Table.from_batches([batch]).select(columns).take(small["_row"])
+            now = pa.table({"query_id": small["query_id"], "score": small["score"], **{c: own[c] for c in columns}})
+            held = now if held is None else best(pa.concat_tables([held, now]))
+        if held is not None:
+            yield from held.to_batches()
+
+    shape = StructType([queries.schema["query_id"], StructField("score", LongType()), *evidence.schema.fields])
+    ship(evidence.sparkSession)
+    return cut(evidence.withColumn("_terms", F.array_distinct(T.terms(F.col("text")))).mapInArrow(run, shape))
+
+
+def overlap_totals(queries: DataFrame, evidence: DataFrame) -> DataFrame:
+    """query_id, documents, most, total: how many rows share terms with a query, the most of them, and their sum.
+
+    Sums are made within tasks; a task sends one row a query.
+    """
+    asked = _asked_terms(queries)
+    last = lambda rows: rows.groupBy("query_id").agg(F.sum("documents").alias("documents"), F.max("most").alias("most"), F.sum("total").alias("total"))
+    if asked is None:
+        from foliant.operators.corpus import postings
+
+        return last(overlap(queries, postings(evidence)).select("query_id", F.lit(1).cast("long").alias("documents"), F.col("score").alias("most"), F.col("score").alias("total")))
+    ids = asked[0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((3, len(ids)), np.int64)
+        for batch in batches:
+            _, query, score = _pairs(batch.column("_terms"), asked)
+            sums[0] += np.bincount(query, minlength=len(ids))
+            np.maximum.at(sums[1], query, score)
+            sums[2] += np.bincount(query, score, minlength=len(ids)).astype(np.int64)
+        some = sums[0] > 0
+        yield pa.RecordBatch.from_arrays([pa.array(x[some]) for x in (ids, *sums)], names=["query_id", "documents", "most", "total"])
+
+    shape = StructType([queries.schema["query_id"], *(StructField(c, LongType()) for c in ("documents", "most", "total"))])
+    ship(evidence.sparkSession)
+    return last(evidence.select(F.array_distinct(T.terms(F.col("text"))).alias("_terms")).mapInArrow(run, shape))
+
+
 def top(scored: DataFrame, k: int, by: str = "query_id", tie: str = "evidence_id") -> DataFrame:
     """The k best rows of each query, with ``rank``; ties by id."""
     order = Window.partitionBy(by).orderBy(F.desc("score"), F.asc(tie))

@@ -1,27 +1,37 @@
-"""Dates in text and timelines: mentions with offsets, filters, order, highlights."""
+"""Dates in text and timelines: mentions with offsets, calendar entries, filters, order, highlights."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Months, measures that follow a number which is no year, Roman centuries.
+from foliant.functions.spans import clear_of, marks
+from foliant.operators.corpus import numbered
+
+# Months, measures that follow a number which is no year, signs of events and of citations, parts of web addresses.
 MONTHS = "gennaio febbraio marzo aprile maggio giugno luglio agosto settembre ottobre novembre dicembre".split()
-MEASURES = "€|%|euro\\b|abitanti\\b|persone\\b|soldati\\b|metri\\b|km\\b|kg\\b"
+MEASURES = "€ % euro abitanti persone soldati metri km kg".split()
+CUES = "fondat fondaz nacque morì inaugur proclam rivoluz guerra battaglia trattato scopert indipenden pubblic approvat costituz unific conquist".split()
+EARLY_HEADINGS = "storia biografia origine".split()
+BOOK_NUMBER = r"(?iU)\b(?:ISBN(?:-1[03])?|ISSN)\s*:?[\s0-9Xx-]+"
+ADDRESS = r"(?iU)(?:https?\s*:\s*/\s*/|\b(?:[a-z]+\s*\.\s*)+(?:it|com|org)\s*/|\b(?:it|com|org)\s*/\s*(?:storia|news|sito|documents)\s*/)[^\n]*"
+CITED = r"(?iU)\b(?:editore|citato in|hanno come fonte|pp\s*\.)"
+BOOKS_HEADING = r"(?i)bibliografia|riferimenti bibliografici"
 _MONTH = "|".join(MONTHS)
-_ERA = r"(?:\s*(a\s*\.\s*c\.?|d\s*\.\s*c\.?))?"
-FULL = rf"(?i)\b(\d{{1,2}})[°º]?\s+({_MONTH})\s+(\d{{1,4}})\b{_ERA}"
-MONTH_YEAR = rf"(?i)\b({_MONTH})\s+(\d{{1,4}})\b{_ERA}"
-CENTURY = rf"(?i)\b([ivx]+)\s+secolo\b{_ERA}"
-YEAR = rf"(?i)(?<![\d.,])(1\d{{3}}|20\d{{2}})\b(?!\s*(?:{MEASURES}))(?![.,]\d){_ERA}"
-MASK = r"(?i)\b(?:ISBN(?:-1[03])?|ISSN)\s*:?[\s0-9Xx-]+|https?\s*:\s*/\s*/[^\n]*"
+_ERA = r"(?:\s*(?:[ad]\s*\.\s*C\s*\.?))?"
+_AFTER_YEAR = "|".join(m + (r"\b" if m[-1].isalpha() else "") for m in MEASURES)
+FULL = rf"(?iU)(?<!\w)\d{{1,2}}[º°o]?\s+(?:{_MONTH})\s+\d{{1,4}}{_ERA}(?!\w)"
+#: A month date right after a number was a full date that does not exist; it must not become a month date.
+MONTH_YEAR = rf"(?iU)(?<!\w)(?<!\d\s)(?<!\d\s\s)(?<!\d\s\s\s)(?:{_MONTH})\s+\d{{1,4}}{_ERA}(?!\w)"
+CENTURY = rf"(?iU)\b[IVX]{{1,8}}\s+secolo{_ERA}"
+YEAR = rf"(?iU)(?<![\w.,])(?:[12]\d{{3}}|\d{{1,3}}(?=\s*[ad]\s*\.\s*C)){_ERA}(?!\w|[.,]\d)(?!\s*(?:{_AFTER_YEAR}))"
+MENTION = "array<struct<begin:int,finish:int,label:string,start:int,end:int,month:int,day:int>>"
 
 
 def roman(value: Column) -> Column:
     """1 to 30 for canonical numerals, else null. The table is built from a rule."""
     ones = ["", "I", "II", "III", "IV", "V", "VI", "VII", "VIII", "IX"]
-    tens = ["", "X", "XX"]
-    names = [t + o for t in tens for o in ones][1:] + ["XXX"]
+    names = [t + o for t in ("", "X", "XX") for o in ones][1:] + ["XXX"]
     place = F.array_position(F.array(*[F.lit(n) for n in names]), F.upper(value))
     return F.when(place > 0, place.cast("int"))
 
@@ -34,77 +44,162 @@ def month_days(month: Column, year: Column) -> Column:
     return F.when(month == 2, F.when(leap(year), 29).otherwise(28)).when(month.isin(4, 6, 9, 11), 30).otherwise(31)
 
 
-def _signed(year: Column, era: Column) -> Column:
-    return F.when(F.lower(era).startswith("a"), -year).otherwise(year)
-
-
-def mentions(text: Column) -> Column:
-    """Date mentions: (label, start, end, month, day, rank), signed years, 0 for an unknown month or day.
+def month_number(name: Column) -> Column:
+    return F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.lower(name)).cast("int")
 
-    More exact forms come first and are blanked out before the next form is looked for, so a
-    full date is not also a year. Book numbers and web addresses are blanked out before all.
-    """
-    masked = F.regexp_replace(text, MASK, " ")
-    months = F.array(*[F.lit(m) for m in MONTHS])
 
-    def found(source: Column, pattern: str, make) -> Column:
-        hits = F.regexp_extract_all(source, F.lit(f"({pattern})"), 1)
-        return F.filter(F.transform(hits, make), lambda x: x.isNotNull())
+def before_christ(said: Column) -> Column:
+    """Whether a date's era is before Christ."""
+    return said.rlike(r"(?i)a\s*\.\s*C\s*\.?$")
 
-    def row(label: Column, start: Column, end: Column, month: Column, day: Column) -> Column:
-        return F.struct(F.trim(label).alias("label"), start.cast("int").alias("start"), end.cast("int").alias("end"), month.cast("int").alias("month"), day.cast("int").alias("day"))
 
-    def full(h: Column) -> Column:
-        day, year = F.regexp_extract(h, FULL, 1).cast("int"), F.regexp_extract(h, FULL, 3).cast("int")
-        month = F.array_position(months, F.lower(F.regexp_extract(h, FULL, 2)))
-        signed = _signed(year, F.regexp_extract(h, FULL, 4))
-        return F.when((year > 0) & day.between(1, month_days(month, year)), row(h, signed, signed, month, day))
+def _mention(at: Column, label: Column, start: Column, end: Column, month: Column, day: Column) -> Column:
+    return F.struct(at["begin"].alias("begin"), at["finish"].alias("finish"), label.alias("label"), start.cast("int").alias("start"), end.cast("int").alias("end"), month.cast("int").alias("month"), day.cast("int").alias("day"))
 
-    def month_year(h: Column) -> Column:
-        year = F.regexp_extract(h, MONTH_YEAR, 2).cast("int")
-        signed = _signed(year, F.regexp_extract(h, MONTH_YEAR, 3))
-        return F.when(year > 0, row(h, signed, signed, F.array_position(months, F.lower(F.regexp_extract(h, MONTH_YEAR, 1))), F.lit(0)))
 
-    def century(h: Column) -> Column:
-        n = roman(F.regexp_extract(h, CENTURY, 1))
-        before = F.lower(F.regexp_extract(h, CENTURY, 2)).startswith("a")
-        a, b = (n - 1) * 100 + 1, n * 100
-        return F.when(n.isNotNull(), row(h, F.when(before, -b).otherwise(a), F.when(before, -a).otherwise(b), F.lit(0), F.lit(0)))
+def mentions(rows: DataFrame, text: str = "excerpt", name: str = "mentions") -> DataFrame:
+    """``rows`` with an array of the dates that ``text`` mentions, in order of their offsets.
 
-    def year(h: Column) -> Column:
-        y = _signed(F.regexp_extract(h, r"(\d+)", 1).cast("int"), F.regexp_extract(h, r"(?i)\d\s*(a\s*\.\s*c)", 1))
-        return row(h, y, y, F.lit(0), F.lit(0))
+    A mention has begin and finish (offsets), label, start and end (signed years), month and
+    day (0 where unknown). Full dates, months, centuries and years are looked for in this
+    order; none overlaps with an earlier one, a book number or a web address. A full date that
+    does not exist is none and no month, but its year may be a year.
+    """
 
-    without_full = F.regexp_replace(masked, FULL, " # ")
-    without_month = F.regexp_replace(without_full, MONTH_YEAR, " # ")
-    without_century = F.regexp_replace(without_month, CENTURY, " # ")
-    return F.concat(found(masked, FULL, full), found(without_full, MONTH_YEAR, month_year), found(without_month, CENTURY, century), found(without_century, YEAR, year))
+    def known(pattern: str, make) -> Column:
+        return F.filter(F.transform(marks(F.col(text), pattern), make), lambda x: x.isNotNull())
+
+    def signed(m: Column, digits: Column) -> Column:
+        return F.when(before_christ(m["said"]), -digits).otherwise(digits)
+
+    def full(m: Column) -> Column:
+        day, month = F.regexp_extract(m["said"], r"^(\d+)", 1).cast("int"), month_number(F.regexp_extract(m["said"], rf"(?i)({_MONTH})", 1))
+        year = F.regexp_extract(m["said"], r"(?U)\s(\d{1,4})(?!.*\d)", 1).cast("int")
+        return F.when((year > 0) & day.between(1, month_days(month, year)), _mention(m, F.trim(m["said"]), signed(m, year), signed(m, year), month, day))
+
+    def month_year(m: Column) -> Column:
+        year = F.regexp_extract(m["said"], r"(\d+)", 1).cast("int")
+        return F.when(year > 0, _mention(m, F.trim(m["said"]), signed(m, year), signed(m, year), month_number(F.regexp_extract(m["said"], rf"(?i)({_MONTH})", 1)), F.lit(0)))
+
+    def century(m: Column) -> Column:
+        n = roman(F.regexp_extract(m["said"], r"(?i)^([ivx]+)", 1))
+        first, last = (n - 1) * 100 + 1, n * 100
+        return F.when(n.isNotNull(), _mention(m, F.trim(m["said"]), F.when(before_christ(m["said"]), -last).otherwise(first), F.when(before_christ(m["said"]), -first).otherwise(last), F.lit(0), F.lit(0)))
+
+    def year_only(m: Column) -> Column:
+        year = F.regexp_extract(m["said"], r"^(\d+)", 1).cast("int")
+        return F.when(year > 0, _mention(m, F.trim(m["said"]), signed(m, year), signed(m, year), F.lit(0), F.lit(0)))
+
+    def places(*arrays: Column) -> Column:
+        return F.concat(*[F.transform(a, lambda m: F.struct(m["begin"].alias("begin"), m["finish"].alias("finish"))) for a in arrays])
+
+    # Each form is a column of its own, so that later forms read it instead of computing it again.
+    out = rows.withColumn("_masks", places(marks(F.col(text), BOOK_NUMBER), marks(F.col(text), ADDRESS)))
+    out = out.withColumn("_full", clear_of(known(FULL, full), F.col("_masks")))
+    out = out.withColumn("_taken", F.concat("_masks", places(F.col("_full"))))
+    out = out.withColumn("_month", clear_of(known(MONTH_YEAR, month_year), F.col("_taken")))
+    out = out.withColumn("_taken", F.concat("_taken", places(F.col("_month"))))
+    out = out.withColumn("_century", clear_of(known(CENTURY, century), F.col("_taken")))
+    out = out.withColumn("_taken", F.concat("_taken", places(F.col("_century"))))
+    out = out.withColumn("_year", clear_of(known(YEAR, year_only), F.col("_taken")))
+    found = F.array_sort(F.concat(*[F.col(c).cast(MENTION) for c in ("_full", "_month", "_century", "_year")]))
+    return out.withColumn(name, F.coalesce(found, F.array().cast(MENTION))).drop("_masks", "_full", "_taken", "_month", "_century", "_year")
+
+
+def calendar_mentions(notes: DataFrame) -> DataFrame:
+    """``notes`` (title, heading, excerpt) with ``mentions`` of calendar articles' list entries.
+
+    In an article titled by a year, a list entry that begins with day and month has the title's
+    year; in one titled by day and month, an entry that begins with a year has the title's day.
+    Each has (segment_begin, segment_end): its text up to the next entry. Dates that do not
+    exist are left out; other articles have none.
+    """
+    title, text = F.trim("title"), F.col("excerpt")
+    heading = F.lower("heading")
+    own = (heading == F.lower(title)) | heading.startswith("eventi")
+    of_year = title.rlike(rf"(?iU)^\d{{1,4}}{_ERA}$") & (own | heading.rlike(_MONTH))
+    of_day = title.rlike(rf"(?iU)^\d{{1,2}}\s+(?:{_MONTH})$") & own
+    days = marks(text, rf"(?iU)(?:^|\*)\s*\d{{1,2}}[º°o]?\s+(?:{_MONTH})(?!\w)(?!\s+\d{{3,4}}\b)")
+    years = marks(text, rf"(?iU)(?:^|\*)\s*\d{{1,4}}{_ERA}\s*(?=[–—−:*]|-(?!\s*\d))")
+    out = notes.withColumn("_of_year", of_year).withColumn("_hits", F.when(of_year, days).when(of_day, years).otherwise(F.array().cast("array<struct<begin:int,finish:int,said:string>>")))
+    title_year = F.regexp_extract(title, r"^(\d+)", 1).cast("int") * F.when(before_christ(title), -1).otherwise(1)
+
+    def made(m: Column, i: Column) -> Column:
+        said = F.regexp_replace(m["said"], r"(?U)^\*?\s*", "")
+        year = F.when(F.col("_of_year"), title_year).otherwise(F.regexp_extract(said, r"^(\d+)", 1).cast("int") * F.when(before_christ(F.rtrim(said)), -1).otherwise(1))
+        stated = F.when(F.col("_of_year"), said).otherwise(title)
+        day, month = F.regexp_extract(stated, r"^(\d+)", 1).cast("int"), month_number(F.regexp_extract(stated, rf"(?i)({_MONTH})", 1))
+        valid = (year != 0) & day.between(1, month_days(month, F.abs(year)))
+        until = F.coalesce(F.get("_hits", i + 1)["begin"], F.length(text))
+        begin = m["finish"] - F.length(F.regexp_replace(said, r"(?U)^$", ""))
+        return F.when(valid, F.struct(begin.alias("begin"), year.alias("start"), year.alias("end"), month.alias("month"), day.alias("day"), m["begin"].alias("segment_begin"), until.alias("segment_end")))
+
+    found = F.filter(F.transform("_hits", made), lambda x: x.isNotNull())
+    return out.withColumn("mentions", found).drop("_of_year", "_hits")
 
 
 def date_matches(m, year: int | None, month: int | None = None, day: int | None = None) -> Column:
-    """Whether a mention is of a year, month or day; ranges match years only."""
+    """Whether a mention is of an exact year, month or day; centuries and other ranges match none."""
     if day is not None and month is None or month is not None and year is None:
         raise ValueError("a month needs its year, and a day its month")
-    if year == 0:
-        raise ValueError("there is no year 0")
-    hit = F.lit(True) if year is None else (m["start"] <= year) & (m["end"] >= year)
+    if year is not None and (year == 0 or abs(year) > 9999):
+        raise ValueError("years are 1 to 9999 before or after Christ")
+    if month is not None and not 1 <= month <= 12:
+        raise ValueError("months are 1 to 12")
+    if day is not None:
+        whole = abs(year) % 4 == 0 and (abs(year) % 100 != 0 or abs(year) % 400 == 0)
+        if not 1 <= day <= (29 if whole else 28) + (0 if month == 2 else 2 - whole if month in (4, 6, 9, 11) else 3 - whole):
+            raise ValueError("there is no such day in this month and year")
+    hit = F.lit(True) if year is None else (m["start"] == year) & (m["end"] == year)
     for name, value in (("month", month), ("day", day)):
         if value is not None:
-            hit = hit & (m["start"] == m["end"]) & (m[name] == value)
+            hit = hit & (m[name] == value)
     return hit
 
 
-def highlights(events: DataFrame, limit: int = 12, groups: int = 6) -> DataFrame:
-    """The best event of each document, then of each of equal chronological groups, then by score.
+def is_book_reference(excerpt: Column, heading: Column) -> Column:
+    return excerpt.rlike(r"(?i)\b(?:isbn|issn)\b") | heading.rlike(BOOKS_HEADING)
+
+
+def first_mentions(notes: DataFrame) -> DataFrame:
+    """The first mention, by offset, of each passage: ``notes`` (with mentions) that have one, with ``first``."""
+    return notes.where(F.size("mentions") > 0).withColumn("first", F.element_at("mentions", 1))
+
+
+def event_score(excerpt: Column, heading: Column, day: Column) -> Column:
+    """Three for each sign of an event (nine at most), two for a day, eight in an introduction, one under a heading of origins."""
+    low, head = F.lower(excerpt), F.lower(heading)
+    cues = sum(((F.contains(low, F.lit(c))).cast("int") for c in CUES), F.lit(0))
+    early = F.lit(False)
+    for word in EARLY_HEADINGS:
+        early = early | F.contains(head, F.lit(word))
+    return 3 * F.least(F.lit(3), cues) + 2 * (day > 0).cast("int") + 8 * F.contains(head, F.lit("introduzione")).cast("int") + early.cast("int")
+
+
+def highlights(notes: DataFrame, limit: int = 12, groups: int = 6) -> DataFrame:
+    """The best passage of each document, then of each of equal chronological groups, then by score: ``limit`` at most.
 
-    ``events`` has document, position (chronological order), score and passage; a passage is shown once.
+    ``notes`` has document, number, heading, excerpt and mentions. Passages without a date, of
+    bibliographies and with citations take no part; a document's equal passages count once, by
+    their first number. Chronological places come from range partitions, and only the best of
+    documents and groups and the top scores are brought together.
     """
-    one = events.withColumn("k", F.row_number().over(Window.partitionBy("document", "passage").orderBy("position"))).where("k = 1").drop("k")
-    n = one.agg(F.count("*").alias("n"))
-    order = Window.partitionBy("document").orderBy(F.desc("score"), "position")
-    placed = one.crossJoin(F.broadcast(n)).withColumn("by_document", F.row_number().over(order))
-    g = F.least(F.lit(groups), F.col("n"))
-    placed = placed.withColumn("group", F.floor(((F.col("position") + 1) * g - 1) / F.col("n")))
-    placed = placed.withColumn("by_group", F.row_number().over(Window.partitionBy("group").orderBy(F.desc("score"), "position")))
-    step = F.when(F.col("by_document") == 1, 0).when(F.col("by_group") == 1, 1).otherwise(2)
-    return placed.withColumn("step", step).orderBy("step", F.desc("score"), "position").limit(limit).select("document", "position", "score", "step")
+    able = notes.where(~is_book_reference(F.col("excerpt"), F.col("heading")) & ~F.col("excerpt").rlike(CITED))
+    first = first_mentions(able)
+    order = F.struct("first.start", "first.month", "first.day", "document", "number")
+    one = first.groupBy("document", F.sha2("excerpt", 256).alias("key")).agg(F.min(F.struct(order.alias("at"), event_score(F.col("excerpt"), F.col("heading"), F.col("first.day")).alias("score"))).alias("x"))
+    placed = numbered(one.select("x.at", "x.score"), F.col("at"), name="place")
+    n = placed.count()
+    if not n:
+        return placed.select("at.document", "at.number", "score", F.lit(0).alias("step")).limit(0)
+    g = min(groups, n)
+    placed = placed.withColumn("group", F.floor((F.col("place") * g - 1) / n))
+    # max_by over (score, earliest): the best, the first of equal ones.
+    best = F.max_by(F.struct("at", "score", "place"), F.struct("score", -F.col("place"))).alias("x")
+    by_document = placed.groupBy(F.col("at.document").alias("o")).agg(best).select("x.*", F.lit(0).alias("step"), F.col("o").cast("long").alias("o"))
+    by_group = placed.groupBy(F.col("group").alias("o")).agg(best).select("x.*", F.lit(1).alias("step"), F.col("o").cast("long").alias("o"))
+    # Twice the limit and the groups: as many as the steps before can have taken.
+    by_score = placed.orderBy(F.desc("score"), "place").limit(2 * limit + groups).select("at", "score", "place", F.lit(2).alias("step"), (-F.col("score") * (n + 1) + F.col("place")).cast("long").alias("o"))
+    some = by_document.orderBy("o").limit(limit).unionByName(by_group).unionByName(by_score)
+    chosen = some.groupBy("place", "at", "score").agg(F.min(F.struct("step", "o")).alias("s")).orderBy("s").limit(limit)
+    return chosen.select("at.document", "at.number", "score", F.col("s.step").alias("step"))

@@ -81,13 +81,14 @@ def section_split(spark, sf_dir):
     return found.select("doc_id", "s.place", "s.heading", F.md5("s.body").alias("digest"))
 
 
-@query(
-    "markup_clean",
-    r"""SELECT s_suppkey, regexp_replace(n_name || ' is home to ' || s_name || ' of ' || n_name || '.', '[ \t]+', ' ', 'g') AS text FROM supplier JOIN nation ON s_nationkey = n_nationkey""",
-)
+@query("markup_clean", "SELECT s_suppkey, n_name || ' is home to ' || s_name || ' of ' || n_name || '. book, p. 3' || chr(10) || 'a ; b' AS text FROM supplier JOIN nation ON s_nationkey = n_nationkey")
 def markup_clean(spark, sf_dir):
+    """What a note says stays; a table's cells are told apart; links give their labels."""
     s = table(spark, sf_dir, "supplier").join(F.broadcast(table(spark, sf_dir, "nation")), F.col("s_nationkey") == F.col("n_nationkey"))
-    wiki = F.concat(F.lit("<!-- x -->'''"), "n_name", F.lit("''' is home to [["), "s_name", F.lit("|"), "s_name", F.lit("]] of [["), "n_name", F.lit("]].<ref name=a>book, p. 3</ref>[[Categoria:Fornitori]]<br/>"))
+    wiki = F.concat(
+        F.lit("<!-- x -->'''"), "n_name", F.lit("''' is home to [["), "s_name", F.lit("|"), "s_name", F.lit("]] of [["), "n_name",
+        F.lit("]].<ref name=a>book, p. 3</ref><ref name=a />[[Categoria:Fornitori]]<br/>[https://example.org/x]\n{|\n|-\n| a || b\n|}\n"),
+    )
     return s.select("s_suppkey", corpus.clean_markup(wiki).alias("text"))
 
 

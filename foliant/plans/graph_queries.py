@@ -45,12 +45,21 @@ def transitive_closure(spark, sf_dir):
     return graph.closure(graph.graph(_observations(spark, sf_dir))[1])
 
 
-@query("proposition_conflicts", """SELECT 'located_in' AS predicate, CAST(c_custkey % 500 AS VARCHAR) AS subject, CASE WHEN sum(CASE WHEN c_acctbal < 0 THEN 1 ELSE 0 END) > 0 AND sum(CASE WHEN c_acctbal >= 0 THEN 1 ELSE 0 END) > 0 THEN 'POLARITY' ELSE 'OBJECTS' END AS kind
-FROM customer GROUP BY c_custkey % 500 HAVING (sum(CASE WHEN c_acctbal < 0 THEN 1 ELSE 0 END) > 0 AND sum(CASE WHEN c_acctbal >= 0 THEN 1 ELSE 0 END) > 0) OR (count(DISTINCT c_nationkey) > 1 AND sum(CASE WHEN c_acctbal >= 0 THEN 1 ELSE 0 END) > 1)""")
+#: A proposition per customer: where a name lies (several places may be true), and who presides over what (one at a time).
+_PROPOSITIONS = """SELECT c_custkey AS id, CASE WHEN c_custkey % 2 = 0 THEN 'located_in' ELSE 'president_of' END AS predicate, CAST(c_custkey % 200 AS VARCHAR) AS subject, CAST(c_nationkey % 9 AS VARCHAR) AS object,
+  CASE WHEN c_custkey % 3 = 0 THEN '1995' END AS years, CASE WHEN c_acctbal < 0 THEN 'negative' ELSE 'positive' END AS polarity FROM customer"""
+
+
+@query("proposition_conflicts", f"""WITH p AS ({_PROPOSITIONS}) SELECT id, 'POLARITY' AS kind FROM p WHERE EXISTS (SELECT 1 FROM p q WHERE q.predicate = p.predicate AND q.subject = p.subject AND q.years IS NOT DISTINCT FROM p.years AND q.object = p.object AND q.polarity <> p.polarity)
+UNION ALL SELECT id, 'OBJECTS' FROM p WHERE predicate = 'president_of' AND polarity = 'positive' AND EXISTS (SELECT 1 FROM p q WHERE q.predicate = p.predicate AND q.subject = p.subject AND q.years IS NOT DISTINCT FROM p.years AND q.object <> p.object AND q.polarity = 'positive')""")
 def proposition_conflicts(spark, sf_dir):
-    c = table(spark, sf_dir, "customer")
-    p = c.select(F.lit("located_in").alias("predicate"), (F.col("c_custkey") % 500).cast("string").alias("subject"), F.col("c_nationkey").alias("object"), F.when(F.col("c_acctbal") < 0, "negative").otherwise("positive").alias("polarity"))
-    return graph.conflicts(p, ["located_in"])
+    c, key = table(spark, sf_dir, "customer"), F.col("c_custkey")
+    none = F.lit(None).cast("string")
+    p = c.select(
+        key.alias("id"), F.when(key % 2 == 0, "located_in").otherwise("president_of").alias("predicate"), (key % 200).cast("string").alias("subject"), (F.col("c_nationkey") % 9).cast("string").alias("object"),
+        none.alias("modifiers"), none.alias("category"), F.when(key % 3 == 0, "1995").alias("years"), F.lit("current").alias("tense"), none.alias("location"), F.when(F.col("c_acctbal") < 0, "negative").otherwise("positive").alias("polarity"),
+    )
+    return graph.conflicts(p).select("id", "kind")
 
 
 @query("rule_deduction", """SELECT DISTINCT c_custkey AS x, n_regionkey AS z FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_nationkey % 7 <> 0 AND n_regionkey < 4 AND NOT (c_acctbal < 0 AND n_regionkey = 2)""")
@@ -76,14 +85,13 @@ def incremental_update(spark, sf_dir):
     return graph.update(old, old.where("o_orderkey % 11 = 0").withColumn("status", F.lit("X")), old.where("o_orderkey % 13 = 0"), "o_orderkey")
 
 
-@query("synonym_closure", "SELECT n_nationkey AS term, min(n_nationkey) OVER (PARTITION BY n_regionkey) AS canonical FROM nation")
+@query("synonym_closure", """WITH RECURSIVE seen AS (SELECT DISTINCT 'p' || (l_partkey % 400) AS a, 's' || l_suppkey AS b, l_orderkey AS evidence FROM lineitem),
+l AS (SELECT a, b FROM seen GROUP BY a, b HAVING count(*) >= 4), both_ways AS (SELECT a, b FROM l UNION SELECT b, a FROM l), terms AS (SELECT a AS term FROM seen UNION SELECT b FROM seen),
+r AS (SELECT term, term AS other FROM terms UNION SELECT r.term, e.b FROM r JOIN both_ways e ON r.other = e.a) SELECT term, min(other) AS canonical FROM r GROUP BY term""")
 def synonym_closure(spark, sf_dir):
-    """Terms linked by two or more evidences share the least term: nations of a region form a chain of links."""
-    n = table(spark, sf_dir, "nation")
-    linked = n.alias("x").join(n.alias("y"), (F.col("x.n_regionkey") == F.col("y.n_regionkey")) & (F.col("x.n_nationkey") < F.col("y.n_nationkey"))).select(F.col("x.n_nationkey").alias("a"), F.col("y.n_nationkey").alias("b"))
-    both = linked.unionByName(linked.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    reached = graph.closure(both).groupBy(F.col("a").alias("term")).agg(F.min("b").alias("m"))
-    return n.select(F.col("n_nationkey").alias("term")).join(reached, "term", "left").select("term", F.least("term", "m").alias("canonical"))
+    """Terms that four or more orders name together, over chains of any length."""
+    l = table(spark, sf_dir, "lineitem")
+    return graph.synonyms(l.select(F.concat(F.lit("p"), (F.col("l_partkey") % 400).cast("string")).alias("term_a"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("term_b"), F.col("l_orderkey").alias("evidence")), 4)
 
 
 @query("relation_lookup", "SELECT s_suppkey, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE lower(n_name) = 'france' OR lower(s_name) LIKE '%france%'")

@@ -23,23 +23,22 @@ def _asked(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
-def _scored(spark, sf_dir):
-    lines = corpus.evidence(table(spark, sf_dir, "documents"))
-    return retrieval.overlap(_asked(spark, sf_dir), corpus.postings(lines)), lines
+def _evidence(spark, sf_dir):
+    """Evidence rows that carry their article's title."""
+    docs = table(spark, sf_dir, "documents")
+    return corpus.evidence(docs, titled=True)
 
 
 def _top_pairs(spark, sf_dir, k):
-    """The k best evidence rows of each query with their texts: ranked on ids first, texts joined last."""
-    scored, lines = _scored(spark, sf_dir)
-    docs = corpus.articles(table(spark, sf_dir, "documents")).select("article_id", "title")
-    asked = _asked(spark, sf_dir).withColumnRenamed("text", "query")
-    return retrieval.top(scored, k).select("query_id", "evidence_id").join(lines, "evidence_id").join(docs, "article_id").join(F.broadcast(asked), "query_id")
+    """The k best evidence rows of each query with their texts and titles."""
+    asked = _asked(spark, sf_dir)
+    return retrieval.top_overlap(asked, _evidence(spark, sf_dir), k).drop("rank", "score").join(F.broadcast(asked.withColumnRenamed("text", "query")), "query_id")
 
 
 @query("overlap_topk", f"{WITH} SELECT query_id, rank, evidence_id, score, sha256(text) AS text_sha256 FROM ranked JOIN evidence USING (evidence_id) WHERE rank <= 20")
 def overlap_topk(spark, sf_dir):
-    scored, lines = _scored(spark, sf_dir)
-    return retrieval.top(scored, 20).join(lines, "evidence_id").select("query_id", F.col("rank").cast("long").alias("rank"), "evidence_id", "score", F.sha2("text", 256).alias("text_sha256"))
+    best = retrieval.top_overlap(_asked(spark, sf_dir), corpus.evidence(table(spark, sf_dir, "documents")), 20)
+    return best.select("query_id", F.col("rank").cast("long").alias("rank"), "evidence_id", "score", F.sha2("text", 256).alias("text_sha256"))
 
 
 @query("federated_topk", f"""{WITH}, parts AS (SELECT query_id, library_id, article_id, evidence_id, score, row_number() OVER (PARTITION BY query_id, library_id ORDER BY score DESC, evidence_id) AS place
@@ -47,18 +46,15 @@ def overlap_topk(spark, sf_dir):
 SELECT query_id, library_id || '::' || evidence_id AS federated_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, library_id || '::' || evidence_id) AS rank
 FROM parts WHERE place <= 5 QUALIFY rank <= 10""")
 def federated_topk(spark, sf_dir):
-    scored, lines = _scored(spark, sf_dir)
-    parts = scored.join(lines.select("evidence_id", "library_id"), "evidence_id")
-    each = Window.partitionBy("query_id", "library_id").orderBy(F.desc("score"), "evidence_id")
-    merged = parts.withColumn("place", F.row_number().over(each)).where("place <= 5").withColumn("federated_id", F.concat_ws("::", "library_id", "evidence_id"))
+    parts = retrieval.top_overlap(_asked(spark, sf_dir), corpus.evidence(table(spark, sf_dir, "documents")), 5, by="library_id")
+    merged = parts.withColumn("federated_id", F.concat_ws("::", "library_id", "evidence_id"))
     return retrieval.top(merged.drop("rank"), 10, tie="federated_id").select("query_id", "federated_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 @query("best_hit_per_article", f"""{WITH}, per AS (SELECT query_id, article_id, max(score) AS score, first(evidence_id ORDER BY score DESC, evidence_id) AS evidence_id, count(*) AS n_hits FROM ranked WHERE rank <= 80 GROUP BY query_id, article_id)
 SELECT query_id, article_id, score, evidence_id, n_hits, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, article_id) AS rank FROM per QUALIFY rank <= 10""")
 def best_hit_per_article(spark, sf_dir):
-    scored, lines = _scored(spark, sf_dir)
-    hits = retrieval.top(scored, 80).drop("rank").join(lines.select("evidence_id", "article_id"), "evidence_id")
+    hits = retrieval.top_overlap(_asked(spark, sf_dir), corpus.evidence(table(spark, sf_dir, "documents")), 80).drop("rank", "text")
     return retrieval.best_per_article(hits, 10).select("query_id", "article_id", "score", "evidence_id", "n_hits", F.col("rank").cast("long").alias("rank"))
 
 
@@ -66,16 +62,14 @@ def best_hit_per_article(spark, sf_dir):
   SELECT a.query_id, len(list_intersect(a.terms, d.terms)) AS n FROM asked a, (SELECT list_distinct({terms_sql('text')}) AS terms FROM documents) d) a WHERE n > 0 GROUP BY a.query_id""")
 def set_overlap(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("evidence_id"), "text")
-    found = retrieval.overlap(_asked(spark, sf_dir), corpus.postings(docs))
-    # An overlap of sets is a count over shared terms: no pair without one is ever made.
-    return found.groupBy("query_id").agg(F.count("*").alias("documents"), F.max("score").alias("most"), F.sum("score").alias("total"))
+    return retrieval.overlap_totals(_asked(spark, sf_dir), docs)
 
 
 @query("fractional_overlap", f"{WITH} SELECT query_id, evidence_id, round(score / len(terms)::DOUBLE, 6) AS share FROM ranked JOIN asked USING (query_id) WHERE rank <= 20")
 def fractional_overlap(spark, sf_dir):
-    scored, _ = _scored(spark, sf_dir)
+    scored = retrieval.top_overlap(_asked(spark, sf_dir), corpus.evidence(table(spark, sf_dir, "documents")), 20)
     asked = _asked(spark, sf_dir).select("query_id", F.size(F.array_distinct(T.terms(F.col("text")))).alias("n"))
-    return retrieval.top(scored, 20).join(F.broadcast(asked), "query_id").select("query_id", "evidence_id", F.round(F.col("score") / F.col("n"), 6).alias("share"))
+    return scored.join(F.broadcast(asked), "query_id").select("query_id", "evidence_id", F.round(F.col("score") / F.col("n"), 6).alias("share"))
 
 
 _END_SQL = ", ".join(f"'{e}'" for e in T.ENDINGS)
