@@ -8,6 +8,8 @@ from foliant.plans import (  # noqa: F401  (importing registers)
     graph_queries,
     grounding_queries,
     learning_queries,
+    lookup_queries,
+    reading_queries,
     retrieval_queries,
     source_queries,
     synthesis_queries,
