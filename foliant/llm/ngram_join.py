@@ -35,11 +35,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foliant.llm.components import components
-from foliant.llm.packed import CHUNK_BYTES, CHUNK_ROWS, bucket_cuts, buckets_for, chunks, hashes, mix, pack, pack_sorted, unpack, unpack_sorted, words
+from foliant.llm.packed import CHUNK_ROWS, bucket_cuts, buckets_for, chunks, give_back, hashes, mix, pack, pack_sorted, unpack, unpack_sorted, words
 from foliant.session import forget, settle, ship
 
 #: Words of a shingle; least similarity, as a fraction of two integers.
 WIDTH, SIMILAR = 5, (80, 100)
+#: Bytes of text in a chunk: less than elsewhere, for a chunk's shingles take some 30 times as much while they are sorted.
+CHUNK_BYTES = 4 << 20
 #: Representatives and shared shingles of a tile, at most (a larger representative is a tile of its own).
 TILE_DOCS, TILE_KEYS = 1024, 2_000_000
 #: Stands for a null doc_id where the least is looked for; ids that are broadcast, at most.
@@ -119,6 +121,7 @@ def _send(number: int, part: pa.Table, buckets: int, width: int) -> Iterator[pa.
 
 def _answer(bucket: pa.Table) -> pa.Table:
     """Document frequencies of a bucket's shingles; each chunk gets its shared ones back."""
+    give_back()
     rows = bucket.to_pylist()
     keys = [unpack_sorted(r["keys"]) for r in rows]
     n = [unpack(r["n"]).astype(np.int64) for r in rows]
@@ -143,6 +146,7 @@ def _answer(bucket: pa.Table) -> pa.Table:
 
 def _sets(chunk: pa.Table) -> pa.Table:
     """A row per document: its size, digest and shared shingles, rarest first."""
+    give_back()
     rows = chunk.to_pylist()
     own = next(pa.ipc.open_stream(r["own"]).read_all() for r in rows if r["own"] is not None)
     key, df, doc = [], [], []
