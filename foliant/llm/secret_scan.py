@@ -22,10 +22,13 @@ import math
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foliant.llm.packed import chunks, give_back
 from foliant.session import forget, settle, ship
 
 KINDS = ("assign", "access", "hex", "guess")
@@ -50,6 +53,7 @@ _BEFORE = _NAMES + r"""["']?(?:\x20*[:=]\x20*|\x20+is\x20+)(?:[Bb]earer\x20+)?["
 _VALUE = r"""[^\s"'<>,;|]+"""
 # What stands before a value; a value may hold a name with a value of its own, so it is not taken.
 CONTEXT, VALUE = re.compile(_BEFORE, re.ASCII), re.compile(_VALUE)
+_NAMED_VALUE = re.compile(_BEFORE + _VALUE, re.ASCII)
 
 # Common words of passwords, and rows of a keyboard.
 WORDS = """password pass admin user login welcome monkey dragon master letmein qwerty secret love princess
@@ -83,17 +87,34 @@ def _alphabet(value: str) -> float:
 def ranks(docs: DataFrame) -> dict[str, int]:
     """The dictionary: fixed words, and the documents' words by descending document frequency (2 at least).
 
-    Frequencies are counted over all documents and written; a histogram by their binary
+    A chunk of documents sends each of its words once, with the number of its documents that
+    hold it. Frequencies over all documents are written; a histogram by their binary
     logarithm tells from which one on there are ``MOST_WORDS`` words at most, and only those
     reach the driver.
     """
-    names = F.lower("text")
-    able = F.lit(False)
-    for word in _CONTEXT_WORDS:
-        able = able | F.contains(names, F.lit(word))
-    prose = F.when(able, F.regexp_replace("text", _BEFORE + _VALUE, " ")).otherwise(F.col("text"))
-    words = docs.where(F.col("text").isNotNull()).select(F.explode(F.array_distinct(F.split(F.lower(prose), r"[^\p{L}]+"))).alias("word"))
-    counted = words.where(F.length("word").between(SHORTEST_WORD, LONGEST_WORD)).groupBy("word").agg(F.count("*").alias("n")).where("n > 1")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, part in chunks(batches):
+            texts = pc.fill_null(part.column("text"), "").combine_chunks()
+            low = pc.utf8_lower(texts)
+            named = np.flatnonzero(np.asarray(pc.match_substring_regex(low, "|".join(_CONTEXT_WORDS))))
+            if len(named):
+                own = low.to_pylist()
+                for k, text in zip(named.tolist(), texts.take(pa.array(named)).to_pylist()):
+                    own[k] = _NAMED_VALUE.sub(" ", text).lower()
+                low = pa.array(own, pa.string())
+            split = pc.split_pattern_regex(low, r"[^\p{L}]+")
+            coded = split.flatten().dictionary_encode()
+            doc = np.repeat(np.arange(len(split)), np.asarray(pc.list_value_length(split)))
+            size = max(1, len(coded.dictionary))
+            pairs = np.unique(doc * size + np.asarray(coded.indices).astype(np.int64)) % size
+            n = np.bincount(pairs, minlength=len(coded.dictionary))
+            length = np.asarray(pc.utf8_length(coded.dictionary))
+            keep = pa.array((length >= SHORTEST_WORD) & (length <= LONGEST_WORD))
+            yield pa.RecordBatch.from_arrays([coded.dictionary.filter(keep), pa.array(n, pa.int64()).filter(keep)], names=["word", "n"])
+
+    words = docs.select("text").mapInArrow(count, "word string, n long")
+    counted = words.groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
     counted = settle(counted.withColumn("step", F.floor(F.log2("n") * 64).cast("long")), "words")
     least, kept = 0, 0
     for r in sorted(counted.groupBy("step").agg(F.count("*").alias("words")).collect(), key=lambda r: -r.step):
@@ -226,6 +247,7 @@ def scan(docs: DataFrame) -> DataFrame:
     rank_of = ranks(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         for batch in batches:
             rows = []
             for text in batch.column("text").to_pylist():
@@ -248,6 +270,7 @@ def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     rank_of = ranks(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         for batch in batches:
             texts, lengths = [], []
             for text in batch.column("text").to_pylist():
