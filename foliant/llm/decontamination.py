@@ -149,7 +149,7 @@ def latent_spaces(spark: SparkSession, items: Items, idf: np.ndarray) -> list[Sp
         code[known] = np.arange(len(known))
         weight, v, m = idf[known], len(known), len(members)
         rows = pa.table({"row": pa.array(np.arange(m)), "words": pa.array([code[codes[begin[k] : end[k]]] for k in members], pa.list_(pa.int64()))})
-        passages = spark.createDataFrame(rows).repartition(max(1, m // 64), "row")
+        passages = spark.createDataFrame(rows).coalesce(max(1, m // 64))  # each sends a sum of the basis's size
 
         def matrix(batch: pa.RecordBatch, weight: np.ndarray = weight) -> np.ndarray:
             a = np.zeros((len(batch), len(weight)))

@@ -154,9 +154,12 @@ def partition_sum(rows: DataFrame, partial, size: int) -> np.ndarray:
     """The sum over partitions of vectors of doubles: partitions, then SUMS groups, then one row for the driver."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size)
+        total = None
         for batch in batches:
-            total += partial(batch)
+            if len(batch):
+                total = partial(batch) if total is None else total + partial(batch)
+        if total is None:
+            return  # an empty partition adds nothing
         number = TaskContext.get().partitionId() % SUMS
         yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["g", "v"])
 
