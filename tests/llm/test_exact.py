@@ -298,6 +298,27 @@ def test_topk_against_brute_force(spark):
     assert topk_search.search(frame.limit(0)).collect() == []
 
 
+def test_topk_with_a_query_that_is_repeated(spark):
+    """Nine rows of the query itself must not hide the others that hold its vector."""
+    rows = [(50, [1.0, 1.0])] * 9 + [(i, [1.0, 1.0]) for i in range(51, 54)] + [(i, [0.5, i / 100]) for i in range(60, 70)] + [(7, [1.0, 1.0])] * 3
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1)
+    got = sorted((r.rank, r.vec_id, r.score) for r in topk_search.search(frame).collect())
+    assert got == [(1, 7, 131072), (2, 7, 131072), (3, 7, 131072), (4, 51, 131072), (5, 52, 131072)]
+
+
+def test_topk_reads_few_exact_vectors(spark):
+    """The cells alone rule out nearly all products; bounds hold for all of them."""
+    random = np.random.default_rng(3)
+    exact = np.floor(256 * random.normal(size=(4000, 16))).astype(np.int64)
+    cells, low, width = topk_search._approximate(exact)
+    lower, upper = topk_search._bounds(cells, low, width, exact[:50])
+    true = exact[:50] @ exact.T
+    assert (lower <= true).all() and (true <= upper).all()
+    frame = spark.createDataFrame([(i, [float(x) / 256 for x in v]) for i, v in enumerate(exact.tolist())], "vec_id long, embedding array<double>")
+    near, _ = topk_search.candidates(frame, rows=512)
+    assert 5 * 80 <= near.agg({"n": "sum"}).first()[0] < 0.01 * 80 * 4000
+
+
 def test_lm_scoring(spark):
     for docs in (read(spark, "documents"), docs_frame(spark)):
         docs = docs.select("doc_id", "text")
