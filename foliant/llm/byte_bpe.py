@@ -1,11 +1,14 @@
 """Byte-level BPE encoding and decoding (operator 10).
 
 Boundaries come from :mod:`pretokens`; each distinct pre-token is merged once per worker and
-kept in a bounded cache; a text's ids are the pieces' ids in order, and offsets tell which
-bytes of the text each piece covers. Everything is local to a row: no shuffle, one scan.
+kept in a bounded cache; a text's ids are the pieces' ids in order. Offsets, the byte at which
+each id begins in its text, are kept beside the ids: decoding gathers all bytes at once at
+these places. Everything is local to a row: no shuffle, one scan.
 
 Defined cases: a null or empty text has no ids (the digests are those of empty input); very
-long texts are encoded whole; repeated rows give repeated rows; other columns are not read.
+long texts are encoded whole; repeated rows give repeated rows; an empty table gives an empty
+one; ids without offsets (null) are laid end to end; ids that are unknown, or whose offsets
+leave gaps or overlap, give a null text; other columns are not read.
 """
 
 from __future__ import annotations
@@ -47,7 +50,12 @@ class Codec:
     def __init__(self, path: str):
         with open(path, "rb") as lines:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in lines if x.strip())}
-        self.bytes_of = {str(i): b for b, i in self.ranks.items()}
+        # All pieces' bytes in one row, where each begins there, and its size (-1: no such id).
+        pairs = sorted((i, b) for b, i in self.ranks.items())
+        self.blob = np.frombuffer(b"".join(b for _, b in pairs), np.uint8)
+        ids, lengths = np.array([i for i, _ in pairs], np.int64), np.array([len(b) for _, b in pairs], np.int64)
+        self.sizes, self.begins = np.full(ids[-1] + 1, -1), np.zeros(ids[-1] + 1, np.int64)
+        self.sizes[ids], self.begins[ids] = lengths, np.cumsum(lengths) - lengths
         self.known = _Known(self)
 
     def merge(self, piece: bytes) -> list[int]:
@@ -97,12 +105,18 @@ class Codec:
             self.known.clear()
         return list(map(self.known.__getitem__, found))
 
-    def decode(self, ids: list[str]) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids))
+    def starts(self, ids: np.ndarray) -> np.ndarray:
+        """The byte at which each id begins in its text, and the end."""
+        return np.concatenate([[0], np.cumsum(self.sizes[ids])])
 
-    def offsets(self, found: list[str]) -> np.ndarray:
-        """Byte offsets of pieces in their text, from 0, the end added."""
-        return np.concatenate([[0], np.cumsum([len(p.encode()) for p in found], dtype=np.int64)])
+    def decode(self, ids: np.ndarray, starts: np.ndarray) -> bytes | None:
+        """The bytes of ids that begin at ``starts`` (the end added), None where these don't fit."""
+        if len(ids) and (ids.min() < 0 or ids.max() >= len(self.sizes)):
+            return None
+        sizes = self.sizes[ids]
+        if starts[0] or len(starts) != len(ids) + 1 or (np.diff(starts) != sizes).any() or (sizes < 0).any():
+            return None
+        return self.blob[np.repeat(self.begins[ids] - starts[:-1], sizes) + np.arange(starts[-1])].tobytes()
 
 
 @lru_cache(maxsize=4)
@@ -122,14 +136,16 @@ def blocks(texts: list[str], most: int = BLOCK) -> Iterator[tuple[int, int]]:
         yield begin, len(texts)
 
 
-def encode_texts(texts: list[str], path: str) -> Iterator[str]:
-    """Each text's ids as decimal numbers joined by commas."""
+def encode_texts(texts: list[str], path: str) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+    """Each text's ids as decimal numbers joined by commas, as an array, and their offsets with the end."""
     own = codec(path)
     for a, b in blocks(texts):
         found, first = pieces(texts[a:b])
         ids = own.ids(found)
         for i, j in zip(first.tolist(), first[1:].tolist()):
-            yield ",".join(ids[i:j])
+            joined = ",".join(ids[i:j])
+            numbers = np.fromstring(joined, np.int64, sep=",")
+            yield joined, numbers, own.starts(numbers)
 
 
 def round_trip(docs: DataFrame, vocabulary: str) -> DataFrame:
@@ -142,42 +158,45 @@ def round_trip(docs: DataFrame, vocabulary: str) -> DataFrame:
         for batch in batches:
             texts = [x or "" for x in batch.column("text").to_pylist()]
             counts, encoded, decoded = [], [], []
-            for joined in encode_texts(texts, vocabulary):
-                ids = joined.split(",") if joined else []
+            for joined, ids, starts in encode_texts(texts, vocabulary):
                 counts.append(len(ids))
                 encoded.append(hashlib.sha256(joined.encode()).hexdigest())
-                decoded.append(hashlib.sha256(own.decode(ids)).hexdigest())
+                decoded.append(hashlib.sha256(own.decode(ids, starts)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(encoded, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def encode(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """doc_id, ids array<int> and starts array<int>: the byte at which each id begins in its text."""
+    """doc_id, ids array<int> and starts array<int>: the byte at which each id begins in its text, and the end."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(vocabulary)
         for batch in batches:
-            texts = [x or "" for x in batch.column("text").to_pylist()]
-            ids = [list(map(int, joined.split(","))) if joined else [] for joined in encode_texts(texts, vocabulary)]
-            starts = []
-            for row in ids:
-                sizes = [len(own.bytes_of[str(i)]) for i in row]
-                starts.append(np.concatenate([[0], np.cumsum(sizes)])[:-1].astype(np.int32) if row else [])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32())), pa.array(starts, pa.list_(pa.int32()))], names=["doc_id", "ids", "starts"])
+            made = [(ids, starts) for _, ids, starts in encode_texts([x or "" for x in batch.column("text").to_pylist()], vocabulary)]
+            columns = [pa.array([x[c].astype(np.int32) for x in made], pa.list_(pa.int32())) for c in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=["doc_id", "ids", "starts"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids array<int>, starts array<int>")
 
 
 def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
-    """doc_id and text, back from the ids of :func:`encode`."""
+    """doc_id and text, back from the ids and offsets of :func:`encode`."""
     ship(encoded.sparkSession)
 
+    def text(own: Codec, ids: list[int] | None, starts: list[int] | None) -> str | None:
+        if ids is None or None in ids or starts is not None and None in starts:
+            return None
+        numbers = np.array(ids, np.int64)
+        if starts is None and len(ids) and not 0 <= numbers.min() <= numbers.max() < len(own.sizes):
+            return None
+        made = own.decode(numbers, own.starts(numbers) if starts is None else np.array(starts or [0], np.int64))
+        return None if made is None else made.decode("utf-8", "replace")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(vocabulary)
         for batch in batches:
-            texts = [own.decode(list(map(str, row or []))).decode("utf-8", "replace") for row in batch.column("ids").to_pylist()]
+            texts = [text(own, ids, starts) for ids, starts in zip(batch.column("ids").to_pylist(), batch.column("starts").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return encoded.select("doc_id", "ids", "starts").mapInArrow(run, "doc_id long, text string")

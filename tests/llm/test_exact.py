@@ -61,8 +61,20 @@ def test_byte_bpe(spark, own):
         ids = coder.encode_ordinary(r.text or "")
         want.append((r.doc_id, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((r.text or "").encode()).hexdigest()))
     assert rows_of(byte_bpe.round_trip(docs, path)) == sorted(want, key=repr)
-    back = byte_bpe.decode(byte_bpe.encode(docs, path), path)
+    encoded = byte_bpe.encode(docs, path)
+    back = byte_bpe.decode(encoded, path)
     assert rows_of(back) == sorted(((r.doc_id, r.text or "") for r in docs.collect()), key=repr)
+    for r in encoded.collect():
+        pieces = [coder.decode_single_token_bytes(i) for i in r.ids]
+        assert r.starts == [0, *np.cumsum([len(x) for x in pieces]).tolist()]
+
+
+def test_decoding_follows_the_offsets(spark):
+    path = public_tokenizers.path(queries.MULTI_RANKS)
+    a, b = (byte_bpe.codec(path).ranks[x] for x in (b"a", b"b"))
+    rows = [(1, [a, b], [0, 1, 2]), (2, [a, b], None), (3, [a, b], [0, 2, 3]), (4, [a, b], [0, 1]), (5, [a, 10**9], None), (6, [a, -1], [0, 1, 2]), (7, None, None), (8, [], [0]), (9, [], []), (10, [None], [0, 1])]
+    got = byte_bpe.decode(spark.createDataFrame(rows, "doc_id long, ids array<int>, starts array<int>"), path)
+    assert {r.doc_id: r.text for r in got.collect()} == {1: "ab", 2: "ab", 3: None, 4: None, 5: None, 6: None, 7: None, 8: "", 9: "", 10: None}
 
 
 @pytest.mark.parametrize("own", [False, True])
