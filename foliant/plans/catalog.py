@@ -8,6 +8,7 @@ from foliant.plans import (  # noqa: F401  (importing registers)
     graph_queries,
     grounding_queries,
     learning_queries,
+    links_queries,
     lookup_queries,
     reading_queries,
     retrieval_queries,
