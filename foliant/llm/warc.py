@@ -140,7 +140,10 @@ def _record_at(data: bytes, at: int) -> tuple[dict, int]:
         found = _HEADER.match(data, a)
         if not found:
             raise Bad("header line")
-        fields[found[1].lower()] = found[2].decode("utf-8", "replace").strip()
+        name = found[1].lower()
+        if name in fields and name != b"warc-concurrent-to":  # the one field that may repeat; else two records ran into each other
+            raise Bad("repeated header")
+        fields[name] = found[2].decode("utf-8", "replace").strip()
         a = found.end()
     a += 2
     length = fields.get(b"content-length", "")
