@@ -20,7 +20,9 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -59,7 +61,8 @@ _NAMED_VALUE = re.compile(_BEFORE + _VALUE, re.ASCII)
 WORDS = """password pass admin user login welcome monkey dragon master letmein qwerty secret love princess
 football baseball sunshine shadow superman batman test guest root default change changeme hello freedom
 whatever trust hunter ranger buster soccer hockey killer george summer winter spring autumn monday friday
-example sample demo temp none null true false your here placeholder redacted value string token the and""".split()
+example sample demo temp none null true false your here placeholder redacted value string token the and
+http https www com org net index html htm php home main page wiki search file files images static docs""".split()
 RANK = {w: i + 1 for i, w in enumerate(WORDS)}
 ROWS = ("`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
 _LEET = str.maketrans("@430$51!7", "aaeossiit")
@@ -79,6 +82,10 @@ _NEAR = _neighbours()
 _DATE = re.compile(r"(?:(?:19|20)\d\d[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:19|20)?\d\d|(?:19|20)\d\d)")
 
 
+# The scheme and host of a web address: public, whatever its letters, and so of a fixed cost.
+_ADDRESS, ADDRESS_BITS = re.compile(r"(?:https?|ftp|wss?)://[A-Za-z0-9.-]+(?::[0-9]+)?/?"), 8.0
+
+
 def _alphabet(value: str) -> float:
     size = 26 * bool(re.search("[a-z]", value)) + 26 * bool(re.search("[A-Z]", value)) + 10 * bool(re.search("[0-9]", value))
     return math.log2(max(10, size + 33 * bool(re.search("[^A-Za-z0-9]", value))))
@@ -169,33 +176,49 @@ class _Run:
         return self.way + self.base + self.factor * math.log2((j - self.begin) / self.unit)
 
 
-def guess_bits(value: str, rank_of: dict[str, int] = RANK, most: float = 1e4) -> float:
-    """log2 of the guesses for the cheapest segmentation of ``value``, or ``most`` if that is less.
+def _mirrored(ending: list[list[tuple[int, float]]]) -> list[list[tuple[int, float]]]:
+    """Pieces of a value as they stand in the value read backwards."""
+    n = len(ending) - 1
+    out: list[list[tuple[int, float]]] = [[] for _ in ending]
+    for j, pieces in enumerate(ending):
+        for i, bits in pieces:
+            out[n - i].append((n - j, bits))
+    return out
+
+
+def _ways(value: str, rank_of: dict[str, int], most: float, per_char: float, backward: bool = False) -> list[float]:
+    """best[j], the cheapest segmentation of the first (backward: the last) j characters of ``value``.
 
     best[j] is the least over the segments that end at j of the cost of what stands before,
     that of the segment, and one bit; one brute-force span of any length may end there.
-    Segments are words, dates, parts of keyboard walks, of sequences of equal steps, and of
+    Segments are words, dates, scheme and host of web addresses, parts of keyboard walks, of sequences of equal steps, and of
     repeats of a unit (``unit * bits a character`` and the number of times). The value is read
-    to its end, or until no way through it costs less than ``most``; a unit of a repeat that
-    alone costs as much needs no run.
+    to its end, or until no way through it costs less than ``most`` (the list then ends there);
+    a unit of a repeat that alone costs as much needs no run.
     """
-    n, per_char, low = len(value), _alphabet(value), value.lower()
+    n, read = len(value), value[::-1] if backward else value
+    low = read.lower() if len(read.lower()) == n else read
     walk, steps = _Run(3, math.log2(47), 2.3), _Run(3, math.log2(26), 1.0)
     units = [(size, _Run(3 if size == 1 else 2 * size, size * per_char, 1.0, size)) for size in range(1, min(n // 2, int(most / per_char)) + 1)]
     best, back = [0.0], max([LONGEST_WORD, *(2 * size for size, _ in units)])
     step = None
+    addresses = [m.span() for m in _ADDRESS.finditer(value)] if "://" in value else []
+    addresses = {n - i if backward else j: n - j if backward else i for i, j in addresses}
     # Words and dates are looked up in stretches, so that a hopeless value is given up early.
     stretch, ending, at = 1024, [], 0
     for j in range(1, n + 1):
         if j > at + len(ending) - 1 - LONGEST_WORD and at + len(ending) - 1 < n or not ending:
             at = max(0, j - LONGEST_WORD - 1)
-            ending = _pieces(value[at : at + stretch + 2 * LONGEST_WORD], rank_of)
+            size = min(n - at, stretch + 2 * LONGEST_WORD)
+            ending = _mirrored(_pieces(value[n - at - size : n - at], rank_of)) if backward else _pieces(value[at : at + size], rank_of)
         # Brute force adds by character, so extending by one is the same as any longer span.
         cost = best[-1] + per_char
         for i, bits in ending[j - at]:
             cost = min(cost, best[at + i] + bits + 1)
+        if j in addresses:
+            cost = min(cost, best[addresses[j]] + ADDRESS_BITS + 1)
         cost = min(cost, 1 + walk.step(j, j > 1 and (low[j - 2], low[j - 1]) in _NEAR, best))
-        now = ord(value[j - 1]) - ord(value[j - 2]) if j > 1 else None
+        now = ord(read[j - 1]) - ord(read[j - 2]) if j > 1 else None
         if now is not None and now != step and abs(now) <= 2:
             steps.begin, steps.way = j - 2, math.inf  # a sequence of another step takes in the character before
             cost = min(cost, 1 + steps.step(j, True, best))
@@ -203,11 +226,40 @@ def guess_bits(value: str, rank_of: dict[str, int] = RANK, most: float = 1e4) ->
             cost = min(cost, 1 + steps.step(j, now is not None and now == step and abs(now) <= 2, best))
         step = now
         for size, run in units:
-            cost = min(cost, 1 + run.step(j, j > size and value[j - 1] == value[j - 1 - size], best))
+            cost = min(cost, 1 + run.step(j, j > size and read[j - 1] == read[j - 1 - size], best))
         best.append(cost)
-        if cost >= most and j > back and min(best[-back:]) >= most and min([walk.way, steps.way, *(run.way for _, run in units)]) >= most:
-            return most
-    return min(best[n], most)
+        if cost >= most and j > back and j >= max(addresses, default=0) and min(best[-back:]) >= most and min([walk.way, steps.way, *(run.way for _, run in units)]) >= most:
+            break
+    return best
+
+
+def guess_bits(value: str, rank_of: dict[str, int] = RANK, most: float = 1e4) -> float:
+    """log2 of the guesses for the cheapest segmentation of ``value``, or ``most`` if that is less."""
+    best = _ways(value, rank_of, most, _alphabet(value))
+    return min(best[-1], most) if len(best) > len(value) else most
+
+
+def end_bits(value: str, starts: list[int], rank_of: dict[str, int] = RANK, most: float = 1e4) -> list[float]:
+    """As :func:`guess_bits`, for the ends of ``value`` from each of ``starts`` (ascending) on.
+
+    One pass from the value's end costs all ends of one alphabet; an end has that of its own
+    characters, which changes four times at most, so the time follows the value's length
+    however many starts there are.
+    """
+    sizes: dict[int, float] = {}
+    alphabet, seen, at = 0.0, "", len(value)
+    for a in reversed(starts):  # from the end, the characters that are there so far, one of each kind
+        seen = "".join({c: None for c in ("a" if x.islower() and x.isascii() else "A" if x.isupper() and x.isascii() else "0" if x.isdigit() and x.isascii() else "-" for x in value[a:at])} | dict.fromkeys(seen))
+        at, alphabet = a, _alphabet(seen)
+        sizes[a] = alphabet
+    out: dict[int, float] = {}
+    for alphabet in set(sizes.values()):
+        own = [a for a in starts if sizes[a] == alphabet]
+        best = _ways(value[own[0] :], rank_of, most, alphabet, backward=True)
+        for a in own:
+            size = len(value) - a
+            out[a] = min(most, best[size]) if size < len(best) else most
+    return [out[a] for a in starts]
 
 
 def find(text: str, rank_of: dict[str, int] = RANK) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
@@ -222,18 +274,31 @@ def find(text: str, rank_of: dict[str, int] = RANK) -> tuple[list[tuple[int, int
     base.sort()
     guessed = []
     if any(w in low for w in _CONTEXT_WORDS):
-        end = 0
+        begins, reach = [a for a, _, _ in base], list(accumulate((b for _, _, b in base), max))
+        values: list[tuple[int, list[int]]] = []  # the end of a value, and where values of names in it begin
         for m in CONTEXT.finditer(text):
             a = m.end()
-            if a >= end:
-                found = VALUE.match(text, a)
-                if not found:
-                    continue
-                end = found.end()
-            value = text[a:end].rstrip(".!?)")
-            b = a + len(value)
-            if b - a >= SHORTEST_VALUE and not any(x <= a and b <= y for x, _, y in base) and guess_bits(value, rank_of, LEAST_BITS) >= LEAST_BITS:
-                guessed.append((a, 3, b))
+            if values and a < values[-1][0]:
+                values[-1][1].append(a)
+            elif found := VALUE.match(text, a):
+                values.append((found.end(), [a]))
+        for end, starts in values:
+            first = starts[0]
+            value = text[first:end].rstrip(".!?)")
+            b = first + len(value)
+            within = bisect_right(begins, first)
+            if b - first < SHORTEST_VALUE:
+                continue
+            if not (within and reach[within - 1] >= b) and guess_bits(value, rank_of, LEAST_BITS) >= LEAST_BITS:
+                guessed.append((first, 3, b))
+            others = []
+            for a in starts[1:]:
+                within = bisect_right(begins, a)
+                if b - a >= SHORTEST_VALUE and not (within and reach[within - 1] >= b):
+                    others.append(a)
+            if others:
+                bits = end_bits(value, [a - first for a in others], rank_of, LEAST_BITS)
+                guessed += [(a, 3, b) for a, x in zip(others, bits) if x >= LEAST_BITS]
     return base, sorted(set(guessed))
 
 

@@ -481,3 +481,35 @@ def test_empty_tables(spark):
     path = public_tokenizers.path
     for made in (lm_scoring.score(none), ngram_join.jaccard_components(none), ngram_join.one_of_each(none), token_counts.count_tokens(none, path(queries.JSON_TOKENIZER)), secret_scan.scan(none), byte_bpe.round_trip(none, path(queries.MULTI_RANKS))):
         assert made.collect() == []
+
+
+def test_values_of_many_names_take_time_by_their_length():
+    import time
+
+    seconds = []
+    for n in (2000, 4000, 8000):
+        began = time.perf_counter()
+        secret_scan.find("pwd=" * n)
+        seconds.append(time.perf_counter() - began)
+    assert seconds[2] < 8 * seconds[0] + 1
+    began = time.perf_counter()
+    assert len(secret_scan.find("http://x/?" + "".join(f"auth=v{i}&" for i in range(10_000)))[1]) > 9000
+    base, guessed = secret_scan.find(" ".join(f'token="abcdefgh{i}x"' for i in range(20_000)))
+    assert len(base) == 19_900 and guessed == [] and time.perf_counter() - began < 30
+
+
+def test_ends_of_a_value_cost_what_they_cost_alone():
+    import random
+
+    rng = random.Random(1)
+    for _ in range(400):
+        value = "".join(rng.choice(["pwd=", "auth=", "abc", "password", "123", "qwer", "zz", "x9Q!", "1999", "A", "-", "http://ab.cd/"]) for _ in range(rng.randint(2, 12)))
+        starts = sorted(rng.sample(range(len(value)), min(3, len(value))))
+        got = secret_scan.end_bits(value, starts, most=40.0)
+        assert [x >= 40 for x in got] == [secret_scan.guess_bits(value[a:], most=40.0) >= 40 for a in starts]
+
+
+def test_plain_links_after_credential_words_are_no_secrets():
+    for text in ("auth: http://www.example.com/index.html", "Pass: https://wiki.example.org/Main_Page", "login: https://a-very-long-host-name-of-some-forty-letters.example.net/"):
+        assert secret_scan.find(text)[1] == []
+    assert secret_scan.find("auth: https://example.com/?k=q7$Zk!2p#Lm9x")[1] != []
