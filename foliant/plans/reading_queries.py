@@ -105,8 +105,10 @@ def ordered_choice(spark, sf_dir):
 
 @query("word_differences")
 def word_differences(spark, sf_dir):
-    """Each document's first line against the second."""
+    """Each line of a document against the next one."""
     ship(spark)
-    d = table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n", 3).alias("l")).where("size(l) > 1")
-    c = d.select("doc_id", F.posexplode(reading.word_changes(F.col("l")[0], F.col("l")[1])).alias("n", "c"))
-    return c.select("doc_id", "n", "c.side", "c.text", "c.changed")
+    lines = F.split("text", "\n")
+    pairs = F.transform(F.sequence(F.lit(1), F.size("l") - 1), lambda i: F.struct(i.alias("line"), F.element_at("l", i).alias("a"), F.element_at("l", i + 1).alias("b")))
+    d = table(spark, sf_dir, "documents").select("doc_id", lines.alias("l")).where("size(l) > 1").select("doc_id", F.explode(pairs).alias("p"))
+    c = d.select("doc_id", "p.line", F.posexplode(reading.word_changes("p.a", "p.b")).alias("n", "c"))
+    return c.select("doc_id", "line", "n", "c.side", "c.text", "c.changed")
