@@ -14,6 +14,7 @@ from foliant.plans import (  # noqa: F401  (importing registers)
     retrieval_queries,
     source_queries,
     synthesis_queries,
+    topic_queries,
     timeline_queries,
 )
 from foliant.plans.registry import ORACLE_SQL, QUERIES
