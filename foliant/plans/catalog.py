@@ -5,6 +5,7 @@ from __future__ import annotations
 from foliant.plans import (  # noqa: F401  (importing registers)
     compare_queries,
     corpus_queries,
+    extraction_queries,
     graph_queries,
     grounding_queries,
     learning_queries,
