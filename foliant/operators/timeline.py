@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.functions.spans import clear_of, marks
+from foliant.functions.spans import marks, scanner
 from foliant.operators.corpus import numbered
 
 # Months, measures that follow a number which is no year, signs of events and of citations, parts of web addresses.
@@ -28,12 +30,8 @@ YEAR = rf"(?iU)(?<![\w.,])(?:[12]\d{{3}}|\d{{1,3}}(?=\s*[ad]\s*\.\s*C)){_ERA}(?!
 MENTION = "array<struct<begin:int,finish:int,label:string,start:int,end:int,month:int,day:int>>"
 
 
-def roman(value: Column) -> Column:
-    """1 to 30 for canonical numerals, else null. The table is built from a rule."""
-    ones = ["", "I", "II", "III", "IV", "V", "VI", "VII", "VIII", "IX"]
-    names = [t + o for t in ("", "X", "XX") for o in ones][1:] + ["XXX"]
-    place = F.array_position(F.array(*[F.lit(n) for n in names]), F.upper(value))
-    return F.when(place > 0, place.cast("int"))
+#: Numerals from I to XXX, by a rule.
+ROMAN = [t + o for t in ("", "X", "XX") for o in ("", "I", "II", "III", "IV", "V", "VI", "VII", "VIII", "IX")][1:] + ["XXX"]
 
 
 def leap(year: Column) -> Column:
@@ -53,8 +51,54 @@ def before_christ(said: Column) -> Column:
     return said.rlike(r"(?i)a\s*\.\s*C\s*\.?$")
 
 
-def _mention(at: Column, label: Column, start: Column, end: Column, month: Column, day: Column) -> Column:
-    return F.struct(at["begin"].alias("begin"), at["finish"].alias("finish"), label.alias("label"), start.cast("int").alias("start"), end.cast("int").alias("end"), month.cast("int").alias("month"), day.cast("int").alias("day"))
+def _python(pattern: str) -> re.Pattern:
+    return re.compile(pattern.replace("(?iU)", "(?i)"))
+
+
+_NUMERALS = {name: i for i, name in enumerate(ROMAN, 1)}
+_MASKS = [_python(p) for p in (BOOK_NUMBER, ADDRESS)]
+_FORMS = [_python(p) for p in (FULL, MONTH_YEAR, CENTURY, YEAR)]
+_NUMBERS, _LETTERS, _BC = re.compile(r"\d+"), re.compile(rf"(?i){_MONTH}|^[ivx]+"), re.compile(r"(?i)a\s*\.\s*C\s*\.?$")
+#: No date stands in a text without a digit or a century.
+_ANY_DATE = re.compile(r"(?i)\d|secolo")
+
+
+def _exists(year: int, month: int, day: int) -> bool:
+    long_february = year % 4 == 0 and (year % 100 != 0 or year % 400 == 0)
+    return 1 <= day <= (28 + long_february if month == 2 else 30 if month in (4, 6, 9, 11) else 31)
+
+
+def _dated(form: int, said: str) -> tuple[int, int, int, int] | None:
+    """start, end (signed years), month and day of a match of a form, or None for what does not exist."""
+    numbers, word = [int(n) for n in _NUMBERS.findall(said)], _LETTERS.search(said)
+    if form == 2:
+        n = _NUMERALS.get(word[0].upper())
+        first, last = (n * 100 - 99, n * 100) if n else (0, 0)
+    else:
+        first = last = numbers[-1]
+    month, day = (MONTHS.index(word[0].lower()) + 1 if form < 2 else 0), numbers[0] if form == 0 else 0
+    if not first or form == 0 and not _exists(first, month, day):
+        return None
+    return (-last, -first, month, day) if _BC.search(said) else (first, last, month, day)
+
+
+def date_spans(text: str) -> list[tuple]:
+    """(begin, finish, label, start, end, month, day) of the dates that a text mentions, in order."""
+    if not _ANY_DATE.search(text):
+        return []
+    taken, out = bytearray(len(text)), []
+    for mask in _MASKS:
+        for m in mask.finditer(text):
+            taken[m.start() : m.end()] = b"\1" * (m.end() - m.start())
+    for form, pattern in enumerate(_FORMS):
+        new = [(m, x) for m in pattern.finditer(text) if (x := _dated(form, m[0])) and taken.find(1, m.start(), m.end()) < 0]
+        for m, x in new:
+            taken[m.start() : m.end()] = b"\1" * (m.end() - m.start())
+            out.append((m.start(), m.end(), m[0].strip(" "), *x))
+    return sorted(out)
+
+
+_found = scanner(date_spans, "begin:int,finish:int,label:string,start:int,end:int,month:int,day:int")
 
 
 def mentions(rows: DataFrame, text: str = "excerpt", name: str = "mentions") -> DataFrame:
@@ -63,47 +107,9 @@ def mentions(rows: DataFrame, text: str = "excerpt", name: str = "mentions") ->
     A mention has begin and finish (offsets), label, start and end (signed years), month and
     day (0 where unknown). Full dates, months, centuries and years are looked for in this
     order; none overlaps with an earlier one, a book number or a web address. A full date that
-    does not exist is none and no month, but its year may be a year.
+    does not exist is none and no month, but its year may be a year. A null text has none.
     """
-
-    def known(pattern: str, make) -> Column:
-        return F.filter(F.transform(marks(F.col(text), pattern), make), lambda x: x.isNotNull())
-
-    def signed(m: Column, digits: Column) -> Column:
-        return F.when(before_christ(m["said"]), -digits).otherwise(digits)
-
-    def full(m: Column) -> Column:
-        day, month = F.regexp_extract(m["said"], r"^(\d+)", 1).cast("int"), month_number(F.regexp_extract(m["said"], rf"(?i)({_MONTH})", 1))
-        year = F.regexp_extract(m["said"], r"(?U)\s(\d{1,4})(?!.*\d)", 1).cast("int")
-        return F.when((year > 0) & day.between(1, month_days(month, year)), _mention(m, F.trim(m["said"]), signed(m, year), signed(m, year), month, day))
-
-    def month_year(m: Column) -> Column:
-        year = F.regexp_extract(m["said"], r"(\d+)", 1).cast("int")
-        return F.when(year > 0, _mention(m, F.trim(m["said"]), signed(m, year), signed(m, year), month_number(F.regexp_extract(m["said"], rf"(?i)({_MONTH})", 1)), F.lit(0)))
-
-    def century(m: Column) -> Column:
-        n = roman(F.regexp_extract(m["said"], r"(?i)^([ivx]+)", 1))
-        first, last = (n - 1) * 100 + 1, n * 100
-        return F.when(n.isNotNull(), _mention(m, F.trim(m["said"]), F.when(before_christ(m["said"]), -last).otherwise(first), F.when(before_christ(m["said"]), -first).otherwise(last), F.lit(0), F.lit(0)))
-
-    def year_only(m: Column) -> Column:
-        year = F.regexp_extract(m["said"], r"^(\d+)", 1).cast("int")
-        return F.when(year > 0, _mention(m, F.trim(m["said"]), signed(m, year), signed(m, year), F.lit(0), F.lit(0)))
-
-    def places(*arrays: Column) -> Column:
-        return F.concat(*[F.transform(a, lambda m: F.struct(m["begin"].alias("begin"), m["finish"].alias("finish"))) for a in arrays])
-
-    # Each form is a column of its own, so that later forms read it instead of computing it again.
-    out = rows.withColumn("_masks", places(marks(F.col(text), BOOK_NUMBER), marks(F.col(text), ADDRESS)))
-    out = out.withColumn("_full", clear_of(known(FULL, full), F.col("_masks")))
-    out = out.withColumn("_taken", F.concat("_masks", places(F.col("_full"))))
-    out = out.withColumn("_month", clear_of(known(MONTH_YEAR, month_year), F.col("_taken")))
-    out = out.withColumn("_taken", F.concat("_taken", places(F.col("_month"))))
-    out = out.withColumn("_century", clear_of(known(CENTURY, century), F.col("_taken")))
-    out = out.withColumn("_taken", F.concat("_taken", places(F.col("_century"))))
-    out = out.withColumn("_year", clear_of(known(YEAR, year_only), F.col("_taken")))
-    found = F.array_sort(F.concat(*[F.col(c).cast(MENTION) for c in ("_full", "_month", "_century", "_year")]))
-    return out.withColumn(name, F.coalesce(found, F.array().cast(MENTION))).drop("_masks", "_full", "_taken", "_month", "_century", "_year")
+    return rows.withColumn(name, F.coalesce(_found(F.col(text)), F.array().cast(MENTION)))
 
 
 def calendar_mentions(notes: DataFrame) -> DataFrame:
