@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from foliant.plans import (  # noqa: F401  (importing registers)
+    analysis_queries,
     compare_queries,
     corpus_queries,
     extraction_queries,
