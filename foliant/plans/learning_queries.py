@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from foliant.operators import learning
 from foliant.plans.registry import query
-from foliant.session import table
+from foliant.session import shared_folder, table
+from foliant.streaming import lexicon
 from foliant.streaming import journal
 
 
@@ -86,3 +89,16 @@ def events_by_day(spark, sf_dir):
 def learning_growth(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     return journal.growth(e.where("event_id % 10 < 7"), e, "event_type")
+
+
+@query("lexicon_stream", """WITH o AS (SELECT 'c' || o_custkey AS word, o_orderpriority AS category, o_orderkey AS context FROM orders),
+per AS (SELECT word, category, count(*) AS n FROM o GROUP BY ALL), top AS (SELECT word, max(n) AS most, CAST(sum(n) AS BIGINT) AS contexts FROM per GROUP BY word),
+led AS (SELECT word, contexts, count(*) AS leaders, min(category) AS category FROM per JOIN top USING (word) WHERE n = most GROUP BY ALL)
+SELECT word, CASE WHEN leaders = 1 THEN category END AS category, contexts, CASE WHEN leaders > 1 THEN 'AMBIGUA' WHEN contexts >= 3 THEN 'CONFERMATA' WHEN contexts = 2 THEN 'APPRESA' ELSE 'IPOTESI' END AS status, round(contexts / (contexts + 1), 4) AS confidence FROM led""")
+def lexicon_stream(spark, sf_dir):
+    """Customers as words, the priorities of their orders as categories, each order a context; the orders arrive as a stream of files."""
+    source = table(spark, sf_dir, "orders")
+    rows = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 8).parquet(f"{sf_dir}/[o]rders.parquet")  # a pattern also takes a table of one file
+    folder = f"{shared_folder(spark)}/foliant/lexicon-{uuid.uuid4().hex}"
+    lexicon.learn(rows.select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("word"), F.col("o_orderpriority").alias("category"), F.col("o_orderkey").cast("string").alias("context")), f"{folder}/changes", f"{folder}/checkpoint")
+    return lexicon.standing(spark, f"{folder}/changes")
