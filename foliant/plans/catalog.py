@@ -15,6 +15,7 @@ from foliant.plans import (  # noqa: F401  (importing registers)
     reading_queries,
     retrieval_queries,
     source_queries,
+    splits_queries,
     synthesis_queries,
     topic_queries,
     timeline_queries,
