@@ -10,7 +10,7 @@ from foliant.sources import readers
 
 _STEPS = (
     (r"(?is)<script\b[^>]*>.*?</script>", ""), (r"(?is)<style\b[^>]*>.*?</style>", ""), (r"(?is)<head\b[^>]*>.*?</head>", ""), (r"(?is)<!--.*?-->", ""),
-    (r"(?i)</?(?:p|div|br|li|h1|h2|h3|tr|section)\b[^>]*>", "\n"), (r"(?s)<[^>]*>", ""), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&amp;", "&"),
+    (r"(?i)</?(?:p|div|br|li|h1|h2|h3|tr|section)\b[^>]*>", "\n"), (r"(?s)<[^>]*>", ""), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&middot;", "·"), ("&copy;", "©"), ("&amp;", "&"),
     (r"[ \t]+", " "), (r" ?\n[ \n]*", "\n"),
 )
 _HTML_SQL = "html"

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from html import unescape
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,15 +40,22 @@ def dump_pages(spark: SparkSession, path: str) -> DataFrame:
     return main.select(key.alias("article_id"), "title", F.col("revision.id").alias("revision_id"), F.col("revision.timestamp").alias("revision_timestamp"), F.col("revision.text").alias("wikitext"), F.sha2("revision.text", 256).alias("raw_sha256"))
 
 
+def decoded(text: Column) -> Column:
+    """A text with its character references, named and numeric, as characters; what names none stays. No-break spaces become plain ones."""
+
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([t if t is None or "&" not in t else unescape(t).replace("\xa0", " ") for t in texts.to_pylist()], pa.string())
+
+    return F.arrow_udf(run, "string")(text)
+
+
 def html_text(html: Column) -> Column:
-    """Text of HTML: scripts, styles and heads dropped, block elements as line ends, common entities decoded."""
+    """Text of HTML: scripts, styles and heads dropped, block elements as line ends, character references decoded."""
     text = F.regexp_replace(html, r"(?is)<(script|style|head)\b[^>]*>.*?</(?:script|style|head)>", "")
     text = F.regexp_replace(text, r"(?is)<!--.*?-->", "")
     text = F.regexp_replace(text, r"(?i)</?(?:p|div|br|li|h1|h2|h3|tr|section)\b[^>]*>", "\n")
     text = F.regexp_replace(text, r"(?s)<[^>]*>", "")
-    for code, put in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        text = F.replace(text, F.lit(code), F.lit(put))
-    text = F.regexp_replace(text, r"[ \t]+", " ")
+    text = F.regexp_replace(decoded(text), r"[ \t]+", " ")
     return F.trim(F.regexp_replace(text, r" ?\n[ \n]*", "\n"), F.lit(" \n"))
 
 
