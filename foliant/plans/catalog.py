@@ -13,6 +13,7 @@ from foliant.plans import (  # noqa: F401  (importing registers)
     links_queries,
     lookup_queries,
     reading_queries,
+    records_queries,
     retrieval_queries,
     source_queries,
     splits_queries,
