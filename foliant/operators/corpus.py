@@ -114,3 +114,11 @@ def dictionary(texts: DataFrame) -> DataFrame:
 def postings(evidence_rows: DataFrame) -> DataFrame:
     """Distinct (term, evidence_id): terms are made distinct within a row first, so nothing is shuffled."""
     return evidence_rows.select("evidence_id", F.explode(F.array_distinct(T.terms(F.col("text")))).alias("term"))
+
+
+def integrity(texts: DataFrame, manifest: DataFrame, key: str) -> DataFrame:
+    """``key``, problem of what a manifest (key, length, digest) does not find again: MISSING, LENGTH or DIGEST. Only keys, lengths and digests are shuffled."""
+    now = texts.select(key, F.length("text").alias("now_length"), F.sha2("text", 256).alias("now_digest"))
+    met = manifest.join(now, key, "left")
+    problem = F.when(F.col("now_digest").isNull(), "MISSING").when(F.col("now_length") != F.col("length"), "LENGTH").when(F.col("now_digest") != F.col("digest"), "DIGEST")
+    return met.select(key, problem.alias("problem")).where("problem is not null")

@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliant.functions import text as T
+from foliant.operators.extraction import themes
 
 
-def features(text: Column) -> Column:
-    """(key, form) of words of four letters or more and of adjacent pairs of them; keys are stems."""
-    words = F.filter(T.words(text), lambda w: (F.length(w) >= 4) & ~w.isin(T.STOP_WORDS))
-    all_words = T.words(text)
+def features(text: Column, distinct: bool = True) -> Column:
+    """(key, form) of words of four letters or more and of adjacent pairs of them; keys are stems. All of them in order, or each once."""
     able = lambda w: (F.length(w) >= 4) & ~w.isin(T.STOP_WORDS)
-    single = F.transform(words, lambda w: F.struct(T.stem(w).alias("key"), w.alias("form")))
-    pairs = F.filter(F.zip_with(F.slice(all_words, 1, F.greatest(F.size(all_words) - 1, F.lit(0))), F.slice(all_words, 2, F.greatest(F.size(all_words) - 1, F.lit(0))), lambda a, b: F.when(able(a) & able(b), F.struct(F.concat_ws(" ", T.stem(a), T.stem(b)).alias("key"), F.concat_ws(" ", a, b).alias("form")))), lambda x: x.isNotNull())
-    return F.array_distinct(F.concat(single, pairs))
+    all_words = T.words(text)
+    single = F.transform(F.filter(all_words, able), lambda w: F.struct(T.stem(w).alias("key"), w.alias("form")))
+    rest = F.greatest(F.size(all_words) - 1, F.lit(0))
+    pairs = F.zip_with(F.slice(all_words, 1, rest), F.slice(all_words, 2, rest), lambda a, b: F.when(able(a) & able(b), F.struct(F.concat_ws(" ", T.stem(a), T.stem(b)).alias("key"), F.concat_ws(" ", a, b).alias("form"))))
+    found = F.concat(single, F.filter(pairs, lambda x: x.isNotNull()))
+    return F.array_distinct(found) if distinct else found
 
 
 def shared_topics(units: DataFrame) -> DataFrame:
@@ -34,14 +36,17 @@ def shared_topics(units: DataFrame) -> DataFrame:
 
 
 def theme_terms(evidence: DataFrame, k: int = 6) -> DataFrame:
-    """evidence_id, term, frequency, rank: words of four letters or more seen twice, most frequent first."""
-    words = evidence.select("evidence_id", F.explode(F.filter(T.terms(F.col("text")), lambda w: F.length(w) >= 4)).alias("term"))
-    counted = words.groupBy("evidence_id", "term").agg(F.count("*").alias("frequency")).where("frequency >= 2")
-    order = Window.partitionBy("evidence_id").orderBy(F.desc("frequency"), "term")
-    return counted.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
+    """evidence_id, term, frequency, rank of the ``k`` first themes of each evidence (evidence_id, title, heading, text). A map over rows, no shuffle."""
+    filled = [F.coalesce(c, F.lit("")) for c in ("title", "heading", "text")]
+    found = evidence.select("evidence_id", F.posexplode(themes(*filled, k)).alias("place", "t"))
+    return found.select("evidence_id", F.col("t.w").alias("term"), (-F.col("t.n")).cast("long").alias("frequency"), (F.col("place") + 1).cast("long").alias("rank"))
 
 
 def surface_mode(units: DataFrame) -> DataFrame:
-    """key, form, n: the most frequent form of each key, ties to the least."""
-    forms = units.select(F.explode(features(F.col("text"))).alias("f")).groupBy(F.col("f.key").alias("key"), F.col("f.form").alias("form")).agg(F.count("*").alias("n"))
-    return forms.groupBy("key").agg(F.min_by("form", F.struct(-F.col("n"), F.col("form"))).alias("form"), F.max("n").alias("n"))
+    """key, form, n: the most frequent form of each key, ties to the first seen. ``units`` has unit (their order) and text.
+
+    A unit counts a key once, by the last form that it has of it.
+    """
+    seen = units.select("unit", F.posexplode(features(F.col("text"), distinct=False)).alias("place", "f")).select("unit", "place", "f.key", "f.form")
+    forms = seen.groupBy("unit", "key").agg(F.max_by("form", "place").alias("form")).groupBy("key", "form").agg(F.count("*").alias("n"), F.min("unit").alias("first"))
+    return forms.groupBy("key").agg(F.min_by("form", F.struct(-F.col("n"), F.col("first"))).alias("form"), F.max("n").alias("n"))

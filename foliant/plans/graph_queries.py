@@ -94,10 +94,10 @@ def synonym_closure(spark, sf_dir):
     return graph.synonyms(l.select(F.concat(F.lit("p"), (F.col("l_partkey") % 400).cast("string")).alias("term_a"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("term_b"), F.col("l_orderkey").alias("evidence")), 4)
 
 
-@query("relation_lookup", "SELECT s_suppkey, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE lower(n_name) = 'france' OR lower(s_name) LIKE '%france%'")
+@query("relation_lookup", "SELECT s_suppkey, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE lower(n_name) = 'nation_7' OR lower(s_name) LIKE '%0007%'")
 def relation_lookup(spark, sf_dir):
     s = table(spark, sf_dir, "supplier").join(F.broadcast(table(spark, sf_dir, "nation")), F.col("s_nationkey") == F.col("n_nationkey"))
-    return s.where((F.lower("n_name") == "france") | F.lower("s_name").contains("france")).select("s_suppkey", "n_name")
+    return s.where((F.lower("n_name") == "nation_7") | F.lower("s_name").contains("0007")).select("s_suppkey", "n_name")
 
 
 @query("model_diff", "SELECT coalesce(a.k, b.k) AS k, CASE WHEN a.k IS NULL THEN 'ADDED' WHEN b.k IS NULL THEN 'REMOVED' ELSE 'CHANGED' END AS kind FROM (SELECT p_partkey AS k, p_size AS v FROM part WHERE p_partkey % 3 <> 0) a FULL JOIN (SELECT p_partkey AS k, CASE WHEN p_partkey % 5 = 0 THEN -1 ELSE p_size END AS v FROM part WHERE p_partkey % 7 <> 0) b ON a.k = b.k WHERE a.v IS DISTINCT FROM b.v OR a.k IS NULL OR b.k IS NULL")

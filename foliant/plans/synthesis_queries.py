@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from foliant.functions import text as T
 from foliant.operators import corpus, synthesis
-from foliant.plans.corpus_queries import ARTICLES, EVIDENCE, FOLDED, STOP_SQL, terms_sql
+from foliant.operators.extraction import NO_THEME
+from foliant.plans.corpus_queries import ARTICLES, EVIDENCE, FOLDED, STOP_SQL
 from foliant.plans.registry import query
 from foliant.session import table
 
@@ -38,13 +39,23 @@ def shared_topics(spark, sf_dir):
     return synthesis.shared_topics(_units(spark, sf_dir))
 
 
-@query("theme_terms", f"""SELECT evidence_id, term, frequency, rank FROM (SELECT *, row_number() OVER (PARTITION BY evidence_id ORDER BY frequency DESC, term) AS rank
-  FROM (SELECT doc_id AS evidence_id, term, count(*) AS frequency FROM (SELECT doc_id, unnest(list_filter({terms_sql('text')}, lambda w: length(w) >= 4)) AS term FROM documents) GROUP BY ALL HAVING count(*) >= 2)) WHERE rank <= 6""")
+_NO_THEME = ", ".join(f"'{w}'" for w in NO_THEME)
+
+
+@query("theme_terms", f"""WITH {ARTICLES}, w AS (SELECT article_id, title, unnest(regexp_extract_all(lower(title || ' Introduzione ' || text), '[a-zà-ÿ]{{4,}}')) AS term FROM articles),
+c AS (SELECT article_id, term, count(*) AS frequency, any_value(list_contains(regexp_extract_all(lower(title), '[a-zà-ÿ]{{4,}}'), term)) AS titled FROM w WHERE term NOT IN ({_NO_THEME}) GROUP BY ALL)
+SELECT article_id AS evidence_id, term, frequency, row_number() OVER (PARTITION BY article_id ORDER BY frequency DESC, term) AS rank FROM c WHERE frequency > 1 OR titled QUALIFY rank <= 6""")
 def theme_terms(spark, sf_dir):
-    return synthesis.theme_terms(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("evidence_id"), "text"))
+    a = corpus.articles(table(spark, sf_dir, "documents"))
+    return synthesis.theme_terms(a.select(F.col("article_id").alias("evidence_id"), "title", F.lit("Introduzione").alias("heading"), "text"))
+
+
+def _all_features(text):
+    return _features(text).removeprefix("list_distinct(").removesuffix(")")
 
 
-@query("surface_mode", f"""WITH f AS (SELECT unnest({_features('text')}) AS f FROM documents), c AS (SELECT f.key AS key, f.form AS form, count(*) AS n FROM f GROUP BY ALL)
-SELECT key, arg_min(form, (-n, form)) AS form, max(n) AS n FROM c GROUP BY key""")
+@query("surface_mode", f"""WITH f AS (SELECT doc_id, {_all_features('text')} AS x FROM documents), u AS (SELECT doc_id, unnest(x) AS f, unnest(range(len(x))) AS i FROM f),
+per AS (SELECT doc_id, f.key AS key, arg_max(f.form, i) AS form FROM u GROUP BY ALL), c AS (SELECT key, form, count(*) AS n, min(doc_id) AS first FROM per GROUP BY ALL)
+SELECT key, arg_min(form, (-n, first)) AS form, max(n) AS n FROM c GROUP BY key""")
 def surface_mode(spark, sf_dir):
-    return synthesis.surface_mode(table(spark, sf_dir, "documents"))
+    return synthesis.surface_mode(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("unit"), "text"))
