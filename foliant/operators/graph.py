@@ -34,6 +34,35 @@ def closure(edges: DataFrame, hops: int = 4) -> DataFrame:
     return reduce(DataFrame.unionByName, found).groupBy("a", "b").agg(F.min("hops").alias("hops"))
 
 
+def declared_closure(facts: DataFrame, declarations: DataFrame, hops: int = 4, most: int = 64) -> DataFrame:
+    """source, relation, a, b, hops, status of what follows from a relation that its source declares transitive.
+
+    ``facts`` has source, relation, a, b and negative; ``declarations`` source, relation and negative.
+    A relation counts if its source declares it and never denies that. An edge that the source
+    both asserts and denies is no step. Up to ``hops`` edges make a proof, the least number is
+    kept; a conclusion that the source denies is a CONFLICT, any other VERIFIED. Of a relation of
+    more than ``most`` asserted edges nothing is concluded (LIMIT, with null ends). Sources do not mix,
+    and no node follows from itself. Facts that repeat count once; nulls take no part.
+    """
+    own = ["source", "relation"]
+    ruled = declarations.groupBy(*own).agg(F.bool_or("negative").alias("denied")).where("not denied").select(*own)
+    edge = facts.where("a is not null and b is not null and negative is not null").groupBy(*own, "a", "b").agg(F.bool_or(~F.col("negative")).alias("said"), F.bool_or("negative").alias("denied"))
+    edge = edge.join(ruled, own)
+    sizes = edge.where("said").groupBy(*own).agg(F.count("*").alias("n"))
+    large = sizes.where(F.col("n") > most).select(*own)
+    step = edge.where("said and not denied").join(large, own, "left_anti").select(*own, "a", "b")
+    front, found = step.where("a <> b").withColumn("hops", F.lit(1)), []
+    for k in range(1, hops + 1):
+        found.append(front)
+        onward = step.select(*own, F.col("a").alias("b"), F.col("b").alias("c"))
+        front = front.join(onward, [*own, "b"]).where("a <> c").select(*own, "a", F.col("c").alias("b"), F.lit(k + 1).alias("hops")).distinct()
+    least = reduce(DataFrame.unionByName, found).groupBy(*own, "a", "b").agg(F.min("hops").alias("hops"))
+    denied = edge.where("denied").select(*own, "a", "b", F.lit(True).alias("against"))
+    proved = least.join(denied, [*own, "a", "b"], "left").select(*own, "a", "b", "hops", F.when(F.col("against"), "CONFLICT").otherwise("VERIFIED").alias("status"))
+    none = F.lit(None)
+    return proved.unionByName(large.select(*own, none.cast(facts.schema["a"].dataType).alias("a"), none.cast(facts.schema["b"].dataType).alias("b"), none.cast("int").alias("hops"), F.lit("LIMIT").alias("status")))
+
+
 def least_reachable(links: DataFrame) -> DataFrame:
     """(node, least): the least node that each node reaches over undirected links (a, b), however long the way.
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliant.operators import graph
@@ -45,6 +48,30 @@ def transitive_closure(spark, sf_dir):
     return graph.closure(graph.graph(_observations(spark, sf_dir))[1])
 
 
+_FACTS = """facts AS (SELECT c_custkey // 20 AS source, 'precede' AS relation, c_custkey AS a, c_custkey + 1 AS b, false AS negative FROM customer WHERE c_custkey % 20 < 19
+  UNION ALL SELECT c_custkey // 20, 'precede', c_custkey, c_custkey + 1, true FROM customer WHERE c_custkey % 7 = 3 AND c_custkey % 20 < 19 UNION ALL SELECT c_custkey // 20, 'precede', c_custkey, c_custkey + 2, true FROM customer WHERE c_custkey % 11 = 0
+  UNION ALL SELECT c_custkey // 20, 'tocca', c_custkey, (c_custkey // 20) * 20 + (c_custkey * 7 + j) % 20, false FROM customer, range(4) AS t(j) WHERE (c_custkey // 20) % 3 = 0),
+declared AS (SELECT DISTINCT c_custkey // 20 AS source, relation, negative FROM customer, (VALUES ('precede', false, 5), ('precede', true, 6), ('tocca', false, 1)) AS t(relation, negative, m) WHERE NOT negative AND (m = 1 OR (c_custkey // 20) % m <> 0) OR negative AND (c_custkey // 20) % m = 1)"""
+
+
+@query("declared_closure", f"""WITH RECURSIVE {_FACTS}, ruled AS (SELECT source, relation FROM declared GROUP BY ALL HAVING NOT bool_or(negative)),
+edge AS (SELECT source, relation, a, b, bool_or(NOT negative) AS said, bool_or(negative) AS denied FROM facts JOIN ruled USING (source, relation) GROUP BY ALL),
+large AS (SELECT source, relation FROM edge WHERE said GROUP BY ALL HAVING count(*) > 64), step AS (SELECT source, relation, a, b FROM edge WHERE said AND NOT denied AND (source, relation) NOT IN (SELECT (source, relation) FROM large)),
+r AS (SELECT source, relation, a, b, 1 AS hops FROM step UNION SELECT r.source, r.relation, r.a, s.b, r.hops + 1 FROM r JOIN step s ON s.source = r.source AND s.relation = r.relation AND s.a = r.b WHERE r.hops < 4),
+least AS (SELECT source, relation, a, b, min(hops) AS hops FROM r WHERE a <> b GROUP BY ALL)
+SELECT l.*, CASE WHEN e.denied THEN 'CONFLICT' ELSE 'VERIFIED' END AS status FROM least l LEFT JOIN edge e USING (source, relation, a, b) UNION ALL SELECT source, relation, NULL, NULL, NULL, 'LIMIT' FROM large""")
+def declared_closure(spark, sf_dir):
+    """Chains of customers, twenty a source, with denied links and conclusions; a second relation with more links than may be followed."""
+    k = F.col("k")
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.expr("c_custkey div 20").alias("source"))
+    fact = lambda relation, b, negative, rows: rows.select("source", F.lit(relation).alias("relation"), k.alias("a"), b.alias("b"), F.lit(negative).alias("negative"))
+    touching = c.where("source % 3 = 0").withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(3))))
+    facts = [fact("precede", k + 1, False, c.where("k % 20 < 19")), fact("precede", k + 1, True, c.where("k % 7 = 3 and k % 20 < 19")), fact("precede", k + 2, True, c.where("k % 11 = 0")), fact("tocca", F.col("source") * 20 + (k * 7 + F.col("j")) % 20, False, touching)]
+    said = lambda relation, negative, rows: rows.select("source", F.lit(relation).alias("relation"), F.lit(negative).alias("negative")).distinct()
+    declared = [said("precede", False, c.where("source % 5 <> 0")), said("precede", True, c.where("source % 6 = 1")), said("tocca", False, c)]
+    return graph.declared_closure(reduce(DataFrame.unionByName, facts), reduce(DataFrame.unionByName, declared))
+
+
 #: A proposition per customer: where a name lies (several places may be true), and who presides over what (one at a time).
 _PROPOSITIONS = """SELECT c_custkey AS id, CASE WHEN c_custkey % 2 = 0 THEN 'located_in' ELSE 'president_of' END AS predicate, CAST(c_custkey % 200 AS VARCHAR) AS subject, CAST(c_nationkey % 9 AS VARCHAR) AS object,
   CASE WHEN c_custkey % 3 = 0 THEN '1995' END AS years, CASE WHEN c_acctbal < 0 THEN 'negative' ELSE 'positive' END AS polarity FROM customer"""
