@@ -38,8 +38,8 @@ from pyspark.sql import functions as F
 from foliant.llm.packed import give_back
 from foliant.session import settle, shared_folder, ship
 
-#: Bytes of an archive from which on the next record begins another.
-ARCHIVE_BYTES = 16 << 20
+#: Bytes of an archive, and of the rows that it is written from (a larger record is a row of its own).
+ARCHIVE_BYTES, ROW_BYTES = 16 << 20, 1 << 20
 #: A payload of more than this part of all pages is hot: there can be no more than its inverse of them.
 HOT_PART = 1e-3
 #: What a gzip member may hold, unpacked.
@@ -97,14 +97,15 @@ def records(pages: DataFrame) -> DataFrame:
 def write(pages: DataFrame, folder: str, compressed: bool = True, archive_bytes: int = ARCHIVE_BYTES, date: str = "2000-01-01T00:00:00Z") -> None:
     """Writes a record for every row of ``pages`` into archives in ``folder``."""
     ship(pages.sparkSession)
+    row_bytes = min(ROW_BYTES, archive_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         give_back()
         held, size = [], 0
         join = b"" if compressed else END
 
-        def archive() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([join.join(held)], pa.binary())], names=["archive"])
+        def part() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([join.join(held)], pa.binary())], names=["part"])
 
         for batch in batches:
             columns = [batch.column(c) for c in ("page_id", "url", "html", "n_bytes", "sha1", "number", "target")]
@@ -113,16 +114,16 @@ def write(pages: DataFrame, folder: str, compressed: bool = True, archive_bytes:
                 made = record("revisit" if html is None else "response", page_id, url, None if html is None else html.encode(), n_bytes, sha1, number, target, date)
                 held.append(zlib.compress(made + END, 6, 31) if compressed else made)
                 size += len(held[-1])
-                if size >= archive_bytes:
-                    yield archive()
+                if size >= row_bytes:
+                    yield part()
                     held, size = [], 0
         if held:
-            yield archive()
+            yield part()
 
-    made = records(pages).mapInArrow(run, "archive binary").select(F.col("archive").cast("string").alias("value"))
-    # One row is one file. The writer ends a file by a separator: the last record's end, or a gzip member of no bytes.
+    made = records(pages).mapInArrow(run, "part binary").select(F.col("part").cast("string").alias("value"))
+    # The writer puts a separator after each row: the last record's end, or a gzip member of no bytes.
     end = _NO_MEMBER.decode("latin-1") if compressed else END.decode()
-    made.write.option("maxRecordsPerFile", 1).option("encoding", "ISO-8859-1").option("lineSep", end).text(folder)
+    made.write.option("maxRecordsPerFile", max(1, archive_bytes // row_bytes)).option("encoding", "ISO-8859-1").option("lineSep", end).text(folder)
 
 
 class Bad(Exception):
