@@ -173,7 +173,7 @@ def relevance(pairs: DataFrame) -> DataFrame:
     p = p.withColumn("coverage", match_share(F.col("asked"), F.col("combined"))).withColumn("title_coverage", match_share(F.col("asked"), F.col("title_words")))
     p = p.withColumn("exact_title", (F.size("asked") > 0) & (F.array_join(T.terms(F.col("title")), " ") == F.array_join("asked", " ")))
     p = p.withColumn("phrase_hit", T.contains_sequence(F.col("combined"), F.col("asked")) & (F.size("asked") >= 2))
-    p = p.withColumn("occurrences", F.size(F.filter("combined", lambda w: T.inflects(w, F.element_at("asked", 1)))))
+    p = p.withColumn("occurrences", F.size(F.filter("combined", lambda w: T.inflects(w, F.get("asked", F.lit(0))))))
     spans = minimum_span(p.where((F.size("asked") >= 2) & (F.col("coverage") == 1.0)))
     p = p.join(spans, ["query_id", "evidence_id"], "left")
     n = F.size("asked")

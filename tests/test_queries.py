@@ -177,3 +177,9 @@ def test_inflections(spark):
 def test_first_rule_wins(spark):
     df = spark.createDataFrame([("Per favore, dimmi cos'è il vento?",), ("dimmi dove sta Lima",)], "q string")
     assert [r[0] for r in df.select(learning.canonical(F.col("q"))).collect()] == ["Che cos'è il vento?", "Dove si trova Lima?"]
+
+
+def test_pairs_without_query_terms_never_qualify(spark):
+    rows = [(1, "e1", "", "del", "il mare"), (2, "e2", "mare", "Il mare", "il mare"), (3, "e3", "il", "", ""), (4, "e4", None, "t", "il mare")]
+    got = retrieval.relevance(spark.createDataFrame(rows, "query_id long, evidence_id string, query string, title string, text string")).collect()
+    assert {r.query_id: r.qualified for r in got if r.query_id < 4} == {1: False, 2: True, 3: False}
