@@ -92,7 +92,7 @@ def citation_units(spark, sf_dir):
 @query("column_balance", """WITH o AS (SELECT o_custkey, list(CAST(o_totalprice AS BIGINT) ORDER BY o_orderkey) AS w FROM orders GROUP BY o_custkey)
 SELECT o_custkey, CAST(list_min(list_transform(generate_series(1, len(w)), lambda n: {'apart': abs(2 * list_sum(w[1:n]) - list_sum(w)), 'cut': n})).cut AS INTEGER) AS cut FROM o""")
 def column_balance(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", F.round("o_totalprice").cast("long").alias("w")))).alias("rows"))
+    o = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", F.rint("o_totalprice").cast("long").alias("w")))).alias("rows"))
     return o.select("o_custkey", reading.column_cut(F.col("rows.w")).alias("cut"))
 
 
