@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from foliant.operators import analysis
 from foliant.plans.registry import query
-from foliant.session import table
+from foliant.session import spread, table
 
 #: A customer's text: C stands for the customer, S for a partner that every third customer has, R for the region. Then construction, head,
 #: qualities, preposition, subject, object, negative, year, tense, class, grammar, joined, antecedent, reason; @ is C where C is the only person.
@@ -29,6 +29,8 @@ _COLUMNS = ("construction", "head", "qualities", "preposition", "subject", "obje
 
 def sentences(spark, sf_dir):
     c, n, r = (table(spark, sf_dir, t) for t in ("customer", "nation", "region"))
+    # Dealt out by rows: parsing a customer's sentences costs far more than its bytes.
+    c = spread(c.select("c_custkey", "c_nationkey"))
     n = n.join(F.broadcast(r), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", F.initcap(F.lower(F.replace("r_name", F.lit(" "), F.lit("")))).alias("region"))
     lines = F.array(*[F.struct(F.lit(i).cast("long").alias("place"), F.lit(t).alias("text")) for i, (t, _) in enumerate(TEXT)])
     rows = c.join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("document"), "region", F.explode(lines).alias("l")).where("l.place <> 3 or document % 3 = 0")
