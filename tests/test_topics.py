@@ -71,3 +71,17 @@ def test_components_are_those_of_all_pairs(spark, task_ties, per_document):
 def test_no_units_no_topics(spark):
     best, inside = topics.topic_components(spark.createDataFrame([], UNITS))
     assert best.collect() == [] and inside.collect() == []
+
+
+def test_keys_are_read_once_a_unit(spark):
+    from pyspark.sql import functions as F
+
+    from foliant.operators import synthesis
+
+    units = spark.createDataFrame([(1, "mare mosso", "mare mosso mare mossi"), (2, "monte", "mare mosso, monte")], "document long, heading string, text string")
+    found = synthesis.shared_topics(units)
+    # What explode() holds is computed without sharing, what stands beside it once for every key: both must be columns by then.
+    assert "explode(keys#" in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.key: (r.documents, r.hits, r.score) for r in found.collect()} == {"mare": (2, 2, 226), "mosso": (2, 2, 226), "mare mosso": (2, 2, 238)}
+    got = units.select(synthesis.keys(F.col("text")).alias("a"), F.array_distinct(F.transform(synthesis.features(F.col("text")), lambda f: f["key"])).alias("b")).collect()
+    assert all(r.a == r.b for r in got)
