@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from foliant.operators import corpus, grounding
 from foliant.plans.corpus_queries import ARTICLES, EVIDENCE
 from foliant.plans.registry import query
-from foliant.session import table
+from foliant.session import spread, table
 
 
 #: Sentences rendered from customers' nations and regions: (sentence, predicate, subject, object, modifiers, category, years, tense, polarity, certain, location).
@@ -48,6 +48,7 @@ GATES = [
 def names(spark, sf_dir):
     """(id, p, r): customers with the names of their nation and its region, capitals first."""
     c, n, r = (table(spark, sf_dir, t) for t in ("customer", "nation", "region"))
+    c = spread(c.select("c_custkey", "c_nationkey"))
     n = n.join(F.broadcast(r), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", F.initcap(F.lower("n_name")).alias("p"), F.initcap(F.lower("r_name")).alias("r"))
     return c.join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("id"), "p", "r")
 
@@ -111,7 +112,7 @@ def gate_tallies(spark, sf_dir):
 #: A library of one passage per customer, about a place of its own (its name ends in the customer's number written in
 #: letters), and a question about each; every fifth is denied, every seventh has a second passage that says otherwise.
 def _library(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.concat(F.lit("Vil"), F.translate(F.col("c_custkey").cast("string"), "0123456789", "abcdefghil")).alias("p"))
+    c = spread(table(spark, sf_dir, "customer").select("c_custkey")).select(F.col("c_custkey").alias("id"), F.concat(F.lit("Vil"), F.translate(F.col("c_custkey").cast("string"), "0123456789", "abcdefghil")).alias("p"))
     first = F.when(F.col("id") % 5 == 0, F.concat("p", F.lit(" non si trova in Lazio. Altro testo."))).otherwise(F.concat(F.lit("Testo (cfr. nota 2) prima. "), "p", F.lit(" si trova in Lazio.")))
     rows = c.select(F.col("id").alias("evidence_id"), F.col("p").alias("title"), first.alias("text"))
     other = c.where("id % 7 = 0").select((F.col("id") + 1_000_000).alias("evidence_id"), F.col("p").alias("title"), F.concat("p", F.lit(" si trova in Puglia.")).alias("text"))
