@@ -68,6 +68,23 @@ def test_components_are_those_of_all_pairs(spark, task_ties, per_document):
     assert {k: sorted(v) for k, v in members.items()} == {k: v[4] for k, v in want.items()}
 
 
+@pytest.mark.parametrize("task_units,task_ties", [(0, 100_000), (0, 3), (200, 100_000), (30, 0)])
+def test_large_selections_have_the_same_components(spark, task_units, task_ties):
+    rows, want = some_units(), plain(some_units())
+    best, inside = topics.topic_components(spark.createDataFrame(rows, UNITS).repartition(3), 10_000, 16, task_ties, task_units)
+    assert {(r.selection, r.topic): (r.documents, r.units, -r.least_unit, r.score) for r in best.collect()} == {k: v[:4] for k, v in want.items()}
+    assert sorted((r.selection, r.topic, r.unit) for r in inside.collect()) == sorted((*k, u) for k, v in want.items() for u in v[4])
+
+
+def test_selections_of_a_task_form_no_supports(spark, monkeypatch):
+    """Two units of 300 words each have 45,000 pairs of them: none is written where a selection fits in a task."""
+    monkeypatch.setattr(topics, "supports", lambda members: pytest.fail("supports were formed"))
+    text = " ".join("parola" + chr(97 + i // 26) + chr(97 + i % 26) for i in range(300))
+    rows = [(1, 1, 1, "x", None, text), (1, 2, 2, "y", "y", " ".join(reversed(text.split())))]
+    best, inside = topics.topic_components(spark.createDataFrame(rows, UNITS))
+    assert {(r.documents, r.units, r.least_unit, r.score) for r in best.collect()} == {(2, 2, 1, 202)} and inside.count() == 160
+
+
 def test_no_units_no_topics(spark):
     best, inside = topics.topic_components(spark.createDataFrame([], UNITS))
     assert best.collect() == [] and inside.collect() == []
