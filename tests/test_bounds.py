@@ -1,6 +1,6 @@
 """What a task holds does not grow with the rows it is given."""
 
-from foliant.operators import lookup
+from foliant.operators import graph, lookup
 
 
 def test_titles_of_one_key_are_cut_before_their_beginnings(spark, monkeypatch):
@@ -14,3 +14,16 @@ def test_titles_of_one_key_are_cut_before_their_beginnings(spark, monkeypatch):
         got.setdefault(r.query_id, []).append((r["rank"], r.article_id))
     assert got[3] == [(1, 0), (2, 1)] and got[7] == [(1, 0), (2, 1), (3, 2990), (4, 2991)] and len(got) == 40
     assert (["asked"], 2) in seen and (["article_id", "key"], 12) in seen
+
+
+def test_observations_of_synonyms_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(graph, "SYNONYM_ROWS", 10)
+    rows = spark.range(400, numPartitions=1).selectExpr("concat('p', id % 4) AS term_a", "concat('s', id % 8) AS term_b", "id % 100 AS evidence")
+    jobs = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("synonyms", "")
+    try:
+        got = {tuple(r) for r in graph.synonyms(rows, 2).collect()}
+        sizes = [info.numTasks for j in jobs.getJobIdsForGroup("synonyms") for s in jobs.getJobInfo(j).stageIds if (info := jobs.getStageInfo(s))]
+    finally:
+        spark.sparkContext._jsc.sc().clearJobGroup()
+    assert got == {(f"{k}{i}", f"p{i % 4}") for k, n in (("p", 4), ("s", 8)) for i in range(n)} and max(sizes) == 40
