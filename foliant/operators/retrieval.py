@@ -54,6 +54,25 @@ def _pairs(terms: pa.ListArray, asked) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return pair // max(1, len(ids)), pair % max(1, len(ids)), score[pair]
 
 
+#: Meetings of a row's terms with queries that are counted at once (and one a row and query), so that memory follows neither rows nor queries.
+MEETINGS = 2_000_000
+
+
+def _slices(batch: pa.RecordBatch, asked) -> Iterator[pa.RecordBatch]:
+    """A batch in stretches of rows whose terms meet the queries some ``MEETINGS`` times; a row is never cut."""
+    ids, vocabulary, first, _ = asked
+    for begin in range(0, len(batch), 4000):
+        part = batch.slice(begin, 4000)
+        terms = part.column("_terms")
+        found = np.asarray(pc.fill_null(pc.index_in(terms.flatten(), vocabulary), -1))
+        n = np.where(found >= 0, first[found + 1] - first[found], 0)
+        row = np.repeat(np.arange(len(terms)), np.asarray(pc.fill_null(pc.list_value_length(terms), 0)))
+        stretch = np.cumsum(np.bincount(row, n, minlength=len(terms)) + len(ids)) // MEETINGS
+        cuts = [0, *(np.flatnonzero(np.diff(stretch)) + 1), len(terms)]
+        for a, b in zip(cuts, cuts[1:]):
+            yield part.slice(a, b - a)
+
+
 def top_overlap(queries: DataFrame, evidence: DataFrame, k: int, by: str | None = None) -> DataFrame:
     """query_id, score and ``evidence``'s columns but its text's terms: each query's k best rows (of each ``by``), ties by evidence_id.
 
@@ -86,7 +105,7 @@ def top_overlap(queries: DataFrame, evidence: DataFrame, k: int, by: str | None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
-        for batch in batches:
+        for batch in (part for whole in batches for part in _slices(whole, asked)):
             row, query, score = _pairs(batch.column("_terms"), asked)
             small = pa.table({"query_id": pa.array(ids[query]), "score": pa.array(score.astype(np.int64)), "_row": pa.array(row), "evidence_id": batch.column("evidence_id").take(pa.array(row)), **({by: batch.column(by).take(pa.array(row))} if by else {})})
             small = best(small)
@@ -116,7 +135,7 @@ def overlap_totals(queries: DataFrame, evidence: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((3, len(ids)), np.int64)
-        for batch in batches:
+        for batch in (part for whole in batches for part in _slices(whole, asked)):
             _, query, score = _pairs(batch.column("_terms"), asked)
             sums[0] += np.bincount(query, minlength=len(ids))
             np.maximum.at(sums[1], query, score)

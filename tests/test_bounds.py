@@ -1,6 +1,9 @@
 """What a task holds does not grow with the rows it is given."""
 
-from foliant.operators import graph, lookup
+import numpy as np
+import pyarrow as pa
+
+from foliant.operators import graph, lookup, retrieval
 
 
 def test_titles_of_one_key_are_cut_before_their_beginnings(spark, monkeypatch):
@@ -27,3 +30,20 @@ def test_observations_of_synonyms_are_dealt_out(spark, monkeypatch):
     finally:
         spark.sparkContext._jsc.sc().clearJobGroup()
     assert got == {(f"{k}{i}", f"p{i % 4}") for k, n in (("p", 4), ("s", 8)) for i in range(n)} and max(sizes) == 40
+
+
+def test_meetings_of_terms_and_queries_are_counted_in_slices(spark, monkeypatch):
+    """Rows that share words with all queries are counted a few at a time, with the same result."""
+    queries = spark.createDataFrame([(i, f"alba borgo q{i}") for i in range(50)], "query_id long, text string")
+    lines = [(f"e{i:03}", f"alba borgo q{i % 50} monte" if i % 3 else ("mare" if i % 2 else None)) for i in range(300)]
+    evidence = spark.createDataFrame(lines, "evidence_id string, text string").repartition(2)
+    run = lambda: (sorted((r.query_id, r["rank"], r.evidence_id, r.score) for r in retrieval.top_overlap(queries, evidence, 4).collect()), sorted(map(tuple, retrieval.overlap_totals(queries, evidence).collect())))
+    want = run()
+    asked = retrieval._asked_terms(queries)
+    batch = pa.record_batch({"_terms": pa.array([None if t is None else t.split() for _, t in lines], pa.list_(pa.string()))})
+    monkeypatch.setattr(retrieval, "MEETINGS", 1000)
+    parts = list(retrieval._slices(batch, asked))
+    assert sum(map(len, parts)) == 300 and max(retrieval._pairs(p.column("_terms"), asked)[2].sum() for p in parts) <= 1000 + 101 and len(parts) > 10
+    assert pa.Table.from_batches(parts).column("_terms").combine_chunks().equals(batch.column("_terms"))
+    whole, cut = retrieval._pairs(batch.column("_terms"), asked)[2].sum(), sum(retrieval._pairs(p.column("_terms"), asked)[2].sum() for p in parts)
+    assert whole == cut and run() == want and np.isfinite(whole)
