@@ -1,7 +1,8 @@
 """A lexicon learned from a stream: what each word is, promoted and demoted as contexts arrive.
 
-State is kept by word: the digests of the contexts it was seen in, and how often each category
-was proposed. A context counts once, in whatever batch it comes again, so a replay changes
+State is kept by word: its contexts' number, and how often each category was proposed. Pairs of word
+and context are made distinct by the stream's own state before, so a context counts once, in
+whatever batch it comes again, and a replay changes
 nothing. A word is a hypothesis with one context, learned with two, confirmed with three; two
 categories that are proposed equally often make it ambiguous until one of them leads.
 """
@@ -11,8 +12,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import Any
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -36,30 +36,19 @@ class Learner(StatefulProcessor):
     """Emits a word's new standing after each batch that changed it, numbered by version."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getMapState("seen", "context string", "n int")
-        self.counts = handle.getMapState("counts", "category string", "n long")
-        self.standing = handle.getValueState("standing", "version long, contexts long")
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        version, contexts = self.standing.get() if self.standing.exists() else (0, 0)
-        before = contexts
-        new: dict[str, int] = {}
-        for batch in rows:
-            for context, category in zip(batch["context"], batch["category"]):
-                if self.seen.containsKey((context,)):
-                    continue
-                self.seen.updateValue((context,), (1,))
-                contexts += 1
-                if category is not None:
-                    new[category] = new.get(category, 0) + 1
-        if contexts == before:
-            return
-        for category, n in new.items():
-            old = self.counts.getValue((category,))[0] if self.counts.containsKey((category,)) else 0
-            self.counts.updateValue((category,), (old + n,))
-        self.standing.update((version + 1, contexts))
-        category, now = status(contexts, {k[0]: v[0] for k, v in self.counts.iterator()})
-        yield pd.DataFrame({"word": [key[0]], "version": [version + 1], "category": [category], "contexts": [contexts], "status": [now], "confidence": [round(contexts / (contexts + 1), 4)]})
+        # One value a word: each access to state is a message between the worker and Spark.
+        self.standing = handle.getValueState("standing", "version long, contexts long, categories array<string>, counts array<long>")
+
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        version, contexts, categories, numbers = self.standing.get() or (0, 0, [], [])
+        counts = dict(zip(categories, numbers))
+        for row in rows:
+            contexts += 1
+            if row.category is not None:
+                counts[row.category] = counts.get(row.category, 0) + 1
+        self.standing.update((version + 1, contexts, list(counts), list(counts.values())))
+        category, now = status(contexts, counts)
+        yield Row(word=key[0], version=version + 1, category=category, contexts=contexts, status=now, confidence=round(contexts / (contexts + 1), 4))
 
     def close(self) -> None:
         pass
@@ -76,8 +65,9 @@ def learn(observations: DataFrame, target: str, checkpoint: str) -> None:
     old = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKS)
     try:
-        rows = observations.where("word is not null and context is not null").select("word", "category", F.sha2("context", 256).alias("context"))
-        changed = rows.groupBy("word").transformWithStateInPandas(Learner(), CHANGES, "append", "None")
+        rows = observations.where("word is not null and context is not null").select("word", "category", F.unhex(F.sha2("context", 256)).alias("context"))
+        fresh = rows.dropDuplicates(["word", "context"]).select("word", "category")
+        changed = fresh.groupBy("word").transformWithState(Learner(), CHANGES, "append", "None")
         run = changed.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint).option("path", target).trigger(availableNow=True).start()
         run.awaitTermination()
     finally:

@@ -25,3 +25,18 @@ def test_standing_over_restarts_and_replays(spark, tmp_path):
             lexicon.learn(spark.readStream.schema(ROWS).parquet(source), target, checkpoint)
         assert {r.word: (r.category, r.contexts, r.status) for r in lexicon.standing(spark, target).collect()} == now
     assert spark.read.parquet(target).where("word = 'mare'").count() == 3
+
+
+def test_a_word_reads_and_writes_its_state_once_a_batch():
+    from types import SimpleNamespace
+
+    from pyspark.sql import Row
+
+    calls, held = [], [None]
+    value = SimpleNamespace(get=lambda: calls.append("get") or held[0], update=lambda x: calls.append("update") or held.__setitem__(0, x))
+    learner = lexicon.Learner()
+    learner.init(SimpleNamespace(getValueState=lambda *a: value))
+    rows = lambda *c: iter([Row(word="w", category=x) for x in c])
+    first = list(learner.handleInputRows(("w",), rows("A", "B", None), None))
+    then = list(learner.handleInputRows(("w",), rows("B"), None))
+    assert [(r.version, r.category, r.contexts, r.status) for r in first + then] == [(1, None, 3, "AMBIGUA"), (2, "B", 4, "CONFERMATA")] and calls == ["get", "update"] * 2
