@@ -3,7 +3,7 @@
 import numpy as np
 import pyarrow as pa
 
-from foliant.operators import graph, lookup, retrieval
+from foliant.operators import corpus, graph, lookup, retrieval
 
 
 def test_titles_of_one_key_are_cut_before_their_beginnings(spark, monkeypatch):
@@ -47,3 +47,15 @@ def test_meetings_of_terms_and_queries_are_counted_in_slices(spark, monkeypatch)
     assert pa.Table.from_batches(parts).column("_terms").combine_chunks().equals(batch.column("_terms"))
     whole, cut = retrieval._pairs(batch.column("_terms"), asked)[2].sum(), sum(retrieval._pairs(p.column("_terms"), asked)[2].sum() for p in parts)
     assert whole == cut and run() == want and np.isfinite(whole)
+
+
+def test_ids_of_postings_are_shuffled_as_bytes(spark):
+    docs = spark.createDataFrame([(i, f"alba borgo\nborgo t{i}", "lib") for i in range(30)], "doc_id long, text string, source string")
+    rows = corpus.evidence(docs)
+    got = corpus.dictionary_of_postings(rows)
+    assert "unhex" in got._jdf.queryExecution().optimizedPlan().toString()
+    want = {}
+    for r in rows.collect():
+        for term in set(r.text.split()):
+            want.setdefault(term, []).append(r.evidence_id)
+    assert {r.term: (r.n_evidence, r.first_id, r.last_id) for r in got.collect()} == {t: (len(ids), min(ids), max(ids)) for t, ids in want.items()}
