@@ -4,56 +4,30 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.functions import text as T
+from foliant.functions import phrases
+from foliant.session import settle
 
-#: A title is looked up by so many of its first words.
-KEY_WORDS = 3
-#: Distinct titles (of some 100 bytes) that are broadcast; more meet the texts by a shuffled join.
+#: Distinct titles (of some 100 bytes) that are broadcast; more meet what texts hold by a shuffled join.
 BROADCAST_TITLES = 200_000
 
 
-def _grams(words: Column) -> Column:
-    """The distinct hashes of all runs of one to KEY_WORDS words (hashes only choose what is compared whole)."""
-
-    def longer(hashed: Column) -> Column:
-        runs = [hashed]
-        for n in range(1, KEY_WORDS):
-            later = F.slice(hashed, n + 1, F.greatest(F.size(hashed) - n, F.lit(0)))
-            runs.append(F.zip_with(runs[-1], later, lambda x, y: F.xxhash64(x, y)))
-        return F.array_distinct(F.concat(*runs))
-
-    # The array of one binds the hashes to a name: without it each use would split the text anew.
-    return F.transform(F.array(F.transform(words, lambda w: F.xxhash64(w))), longer)[0]
-
-
-def _key(words: Column) -> Column:
-    """The hash of a title's first words, as _grams makes it."""
-    key = F.xxhash64(words[0])
-    for n in range(1, KEY_WORDS):
-        key = F.when(F.size(words) > n, F.xxhash64(key, F.xxhash64(words[n]))).otherwise(key)
-    return key
-
-
 def title_mentions(documents: DataFrame) -> DataFrame:
     """document, title, owners: the titles of others whose words stand in a row in a document's text.
 
     ``documents`` has document (unique), title and text. Titles are told by their folded words, so equal titles are one
     and ``owners`` counts the documents that bear it; a document's own title is left out, as are titles
-    without words. Texts meet titles by an equi-join on the title's first words, and only those that
-    meet one are compared whole. Null titles and texts are empty.
+    without words. A text is read once, by tables of bits in which the titles are marked; the runs of words that are marked
+    there meet the titles by an equi-join, so neither pairs with other titles nor other runs of words are
+    shuffled. Null titles and texts are empty.
     """
-    folded = documents.select("document", T.words(T.fold(F.coalesce("title", F.lit("")))).alias("title_words"), T.words(T.fold(F.coalesce("text", F.lit("")))).alias("words"))
-    titles = folded.where(F.size("title_words") > 0).groupBy("title_words").agg(F.count("*").alias("owners"))
-    titles = titles.select(F.concat_ws(" ", "title_words").alias("title"), "owners", _key(F.col("title_words")).alias("key"))
-    if titles.count() <= BROADCAST_TITLES:
-        titles = F.broadcast(titles)
-    met = folded.select("document", F.explode(_grams(F.col("words"))).alias("key")).join(titles, "key").select("document", "title", "owners")
-    whole = folded.select("document", F.concat(F.lit(" "), F.concat_ws(" ", "words"), F.lit(" ")).alias("body"), F.concat_ws(" ", "title_words").alias("own"))
-    said = F.contains("body", F.concat(F.lit(" "), F.col("title"), F.lit(" ")))
-    return met.join(whole, "document").where(said & (F.col("title") != F.col("own"))).select("document", "title", "owners")
+    own = phrases.phrase(F.coalesce("title", F.lit("")))
+    titles = settle(documents.select(own.alias("title")).where("title <> ''").groupBy("title").agg(F.count("*").alias("owners")), "titles")
+    known, n = phrases.vocabulary(titles)
+    said = phrases.mentions(documents.select("document", phrases.plain(F.coalesce("text", F.lit(""))).alias("plain"), own.alias("own")), known)
+    return said.join(F.broadcast(titles) if n <= BROADCAST_TITLES else titles, "title").select("document", "title", "owners")
 
 
 def resolve_members(members: DataFrame, evidence: DataFrame) -> DataFrame:
