@@ -30,7 +30,7 @@ SHORT, BEGINNING, WHOLE = range(3)
 
 _BYTES = np.random.default_rng(22).integers(0, 1 << 63, 256, np.uint64)
 _BASE = 0x9E3779B97F4A7C15
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_powers: list[np.ndarray] = []
 #: Bytes of T.TERM, whose characters are all of Latin-1: single ones, and those that follow LATIN.
 _LETTER = [re.fullmatch(T.TERM, chr(c)) is not None for c in range(256)]
 _ALONE, LATIN = np.array(_LETTER[:128] + [False] * 128), 0xC3
@@ -47,14 +47,12 @@ def phrase(text: Column) -> Column:
     return F.trim(F.regexp_replace(plain(text), f"[^{T.TERM[1:-2]}]+", " "))
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
+def _power(n: int) -> list[np.ndarray]:
     """The first powers (at least n) of the base, and of its inverse, modulo 2^64."""
-    size = 1 << max(n, SLICE).bit_length()
-    if size not in _powers:
-        _powers.clear()
-        one = np.ones(1, np.uint64)
-        _powers[size] = tuple(np.cumprod(np.concatenate([one, np.full(size - 1, x, np.uint64)])) for x in (_BASE, pow(_BASE, -1, 1 << 64)))
-    return _powers[size]
+    if not _powers or len(_powers[0]) < n:
+        size, one = 1 << max(n, SLICE).bit_length(), np.ones(1, np.uint64)
+        _powers[:] = [np.cumprod(np.concatenate([one, np.full(size - 1, x, np.uint64)])) for x in (_BASE, pow(_BASE, -1, 1 << 64))]
+    return _powers
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -130,20 +128,22 @@ def _stretches(column: pa.Array, longest: int) -> Iterator[tuple[int, list[Words
 
 def _cut(data: np.ndarray, most: int, longest: int) -> Iterator[Words]:
     """The words of one text, some ``most`` bytes at a time."""
-    begin = 0
-    while len(data) - begin > most:
-        blank = np.flatnonzero(data[begin : begin + most] == 32)
-        if len(blank) > 1:
-            yield Words(data[begin : begin + blank[-1] + 1], blank[-1:] + 1)
-        # On from the last blank whose run may reach beyond, or else from the next blank: no phrase holds a word so long.
-        close = blank[(blank > 0) & (blank < most - longest - 1)]
-        begin += int(close[-1]) if len(close) else 1 + int(np.argmax(data[begin + 1 :] == 32))
-    if len(data) - begin > 1:
-        yield Words(data[begin:], np.array([len(data) - begin]))
+    blank, i = np.flatnonzero(data == 32), 0
+    while len(data) - blank[i] > most:
+        j = int(np.searchsorted(blank, blank[i] + most)) - 1
+        if j > i:
+            yield Words(data[blank[i] : blank[j] + 1], blank[j : j + 1] + 1 - blank[i])
+        # On from the last blank whose run may reach beyond, or else from the next one: no phrase holds a word so long.
+        i = max(int(np.searchsorted(blank, blank[i] + most - longest - 1)) - 1, i + 1)
+    if i < len(blank) - 1:
+        yield Words(data[blank[i] :], np.array([len(data) - blank[i]]))
 
 
 class Vocabulary:
-    """Bit tables of phrases: how many words these have, the longest one's bytes, and the tables."""
+    """Bit tables of phrases: how many words these have, the longest one's bytes, and the tables.
+
+    Where a text holds the first words of a phrase, it is looked up once for each number of words that phrases have.
+    """
 
     def __init__(self, lengths: list[int], longest: int, tables: list[np.ndarray]) -> None:
         self.lengths, self.longest, self.tables = lengths, longest, tables
