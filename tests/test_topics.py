@@ -102,3 +102,17 @@ def test_keys_are_read_once_a_unit(spark):
     assert {r.key: (r.documents, r.hits, r.score) for r in found.collect()} == {"mare": (2, 2, 226), "mosso": (2, 2, 226), "mare mosso": (2, 2, 238)}
     got = units.select(synthesis.keys(F.col("text")).alias("a"), F.array_distinct(F.transform(synthesis.features(F.col("text")), lambda f: f["key"])).alias("b")).collect()
     assert all(r.a == r.b for r in got)
+
+
+def test_surface_forms_are_chosen_before_keys_are_dealt_out(spark):
+    """A unit's keys meet within the unit, also if it is given twice; no shuffle carries a row for each unit and key."""
+    import re
+
+    from foliant.operators import synthesis
+
+    texts = [(1, "Mercato grande, mercati grandi"), (2, "mercato grande"), (3, "mercati mercati"), (4, None), (5, ""), (6, "Verdi verdi colline colline"), (6, "colline verdi collina"), (None, "mercata")]
+    found = synthesis.surface_mode(spark.createDataFrame(texts, "unit long, text string").repartition(3))
+    got = {r.key: (r.form, r.n) for r in found.collect()}
+    assert got["mercat"] == ("mercati", 2) and got["mercat grand"] == ("mercati grandi", 1) and got["grand"] == ("grandi", 1)
+    assert got["verdi"] == ("verdi", 1) and got["collin"][1] == 1 and got["verdi collin"] == ("verdi colline", 1)
+    assert not re.search(r"hashpartitioning\(unit#\d+L?, key", found._jdf.queryExecution().toString())
